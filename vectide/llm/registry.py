@@ -8,6 +8,7 @@ from .fingerprints import op10_fingerprints
 from .licenses import op4_licenses
 from .packing import op1_packing
 from .quality import op9_quality
+from .substring_dedup import op6_substring_dedup
 from .toxicity import op3_toxicity
 from .url_filter import op5_url_filter
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_licenses": op4_licenses,
     "op5_url_filter": op5_url_filter,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
