@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rows of documents given to Python at once, at most (Arrow's own limits may make it fewer).
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -38,14 +36,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept, lineage cut, in the folder that the cluster names in spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it names none, as in tests."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vectide-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept, lineage cut, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[int]]:
+    """``df`` with its columns named c0, c1, ... and the numbers of the named ones, so that no other column's name can clash."""
+    have, low = df.columns, [c.lower() for c in df.columns]
+    return df.toDF(*[f"c{i}" for i in range(len(have))]), [have.index(n) if n in have else low.index(n.lower()) for n in names]
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -73,10 +83,6 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def table(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
-
-
 def agreed_labels(labels: DataFrame, name: str, bound: int) -> DataFrame:
     """(doc_id, y) of at most ``bound`` labelled rows that may be learnt from: those not held out, with one label.
 

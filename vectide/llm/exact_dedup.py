@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, read, saved
+from .common import numbered, pick, read, saved
 
 #: Bits of one run's filter: 4 MB as bytes, whatever the size of the table. Where a run fills it, more entries go through compaction; none is lost.
 FILTER_BITS = 1 << 22
@@ -44,13 +44,14 @@ def bucket(digest: Column) -> Column:
     return F.floor(_position(digest) / BUCKET_BITS).cast("int")
 
 
-def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "smallest", memtables: int = 4) -> DataFrame:
+def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "smallest", memtables: int = 4, hashed: bool = False) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are; a null text counts as empty. Of equal texts the row with the smallest (or,
     with ``keep="largest"``, the largest) identifier stays. A null identifier stays only where its group has no
     other. Rows that repeat an identifier and a text are all in the group and are all kept, as one identifier names
-    one document. An empty table gives no rows. Other columns of ``docs`` are not read.
+    one document. An empty table gives no rows. Other columns of ``docs`` are not read. ``hashed``: the text's 64-bit hash
+    besides, as second.
     """
     best = F.max if keep == "largest" else F.min
     base = pick(docs, key, text).select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -90,9 +91,33 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
         F.coalesce(F.col("group_size"), F.lit(1)).alias("group_size"),
         F.col("id").eqNullSafe(keep_id).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *[F.col("second")] * hashed,
     )
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows named in ``gone``: (id, second), the doc_id and the 64-bit hash of the text, or null in ``second`` for any text.
+
+    All columns stay. A filter of fixed size over ``gone`` lets most other rows pass at once; only rows it may hold are
+    joined, so the texts that stay aren't shuffled.
+    """
+    own, (at, text) = numbered(docs, "doc_id", "text")
+    nobody = F.lit(-(1 << 63))
+    names = gone.select(F.coalesce("id", nobody).alias("gid"), F.col("second").alias("gsecond")).distinct()
+    names = saved(names)
+    mask = run_filter(names.select(F.col("gid").alias("digest")).distinct()).withColumnRenamed("bits", "mask")
+    tagged = own.withColumn("gkey", F.coalesce(F.col(f"c{at}").cast("long"), nobody)).withColumn("ghash", F.xxhash64(F.coalesce(F.col(f"c{text}"), F.lit(""))))
+    tagged = tagged.withColumn("bucket", bucket(F.col("gkey"))).join(F.broadcast(mask), "bucket", "left").withColumn("maybe", may_contain(F.col("gkey"), F.col("mask")))
+    doubt = tagged.where("maybe").join(names, (F.col("gkey") == F.col("gid")) & (F.col("gsecond").isNull() | (F.col("gsecond") == F.col("ghash"))), "left_anti")
+    return tagged.where("NOT maybe").select(*own.columns).union(doubt.select(*own.columns)).toDF(*docs.columns)
+
+
+def distinct_texts(docs: DataFrame, keep: str = "largest") -> DataFrame:
+    """``docs`` with one row of each group of equal texts; see exact_groups."""
+    dropped = exact_groups(docs, keep=keep, hashed=True).where("NOT kept").select(F.col("doc_id").alias("id"), "second")
+    return without(docs, dropped)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"), keep="largest")
 

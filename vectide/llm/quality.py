@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import agreed_labels, byte_texts, hashes, held_out, map_arrow, mix, pick, read
+from .common import agreed_labels, byte_texts, hashes, held_out, map_arrow, mix, numbered, pick, read
 
 #: Bits of the hashed feature space: the model is one double a place, 2 MB.
 BITS = 18
@@ -108,6 +108,24 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataF
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
+    own, (at,) = numbered(docs, "text")
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    least = np.log(threshold / (1 - threshold))
+
+    def run(batches):
+        w = shared.value
+        for b in batches:
+            good = []
+            for t in byte_texts(b, f"c{at}"):
+                p, v = features(t)
+                good.append(bool(w[p] @ v + w[-1] >= least))
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return score(docs, learn(docs, read(spark, sf_dir, "labels")))

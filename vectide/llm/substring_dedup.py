@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, mix, pick, read, width
+from .common import map_arrow, mix, numbered, pick, read, width
 
 WINDOW = 35
 #: Words of the runs that minimizers are chosen from.
@@ -295,10 +295,8 @@ def keep(text: bytes, runs: list[bytes], size: int) -> tuple[int, list[bytes]]:
 
 def with_runs(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """``docs`` under the columns 0, 1, ..., then its text and the list of its repeated windows' runs (null without any)."""
-    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    lowered = [c.lower() for c in docs.columns]
-    at = {n: docs.columns.index(n) if n in docs.columns else lowered.index(n) for n in ("doc_id", "text")}
-    base = own.withColumn("text", F.col(f"c{at['text']}")).withColumn("key", F.coalesce(F.col(f"c{at['doc_id']}").cast("long"), F.lit(-(1 << 63)))).withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    own, (id_at, text_at) = numbered(docs, "doc_id", "text")
+    base = own.withColumn("text", F.col(f"c{text_at}")).withColumn("key", F.coalesce(F.col(f"c{id_at}").cast("long"), F.lit(-(1 << 63)))).withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
     size_of = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     words = size_of // 5
     places = max(2 * words // (size - min(RUN, size) + 2), 1)
@@ -336,8 +334,7 @@ def cleaned(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     are, null ones too. All rows and columns stay.
     """
     out = with_runs(docs, size)
-    lowered = [c.lower() for c in docs.columns]
-    at = docs.columns.index("text") if "text" in docs.columns else lowered.index("text")
+    _, (at,) = numbered(docs, "text")
     schema = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(docs.schema.fields)])
 
     def run(batches):
