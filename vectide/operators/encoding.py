@@ -83,13 +83,14 @@ def token_weights(ids: list[int], weights: np.ndarray) -> list[tuple[str, float]
     return [(str(t), w) for t, w in best.items()]
 
 
-def encode(tokens: DataFrame, backbone: Backbone, heads: Heads, key: str = "doc_id", dense: bool = False, sparse: bool = False, colbert: bool = False, batch_size: int = BATCH_SIZE, budget: int = BATCH_TOKENS) -> DataFrame:
+def encode(tokens: DataFrame, backbone: Backbone, heads: Heads, key: str = "doc_id", dense: bool = False, sparse: bool = False, colbert: bool = False, batch_size: int = BATCH_SIZE, budget: int = BATCH_TOKENS, wide: bool = False) -> DataFrame:
     """(key, dense_vecs, lexical_weights, colbert_vecs) of (key, ids), the columns asked for only.
 
     Texts are packed and padded within each Arrow batch and go through the backbone once for all heads; a result
-    doesn't depend on what a text is packed with. A head not asked for is not computed.
+    doesn't depend on what a text is packed with. A head not asked for is not computed. ``wide``: in double.
     """
-    fields = [(dense, "dense_vecs", pa.list_(pa.float32()), "array<float>"), (sparse, "lexical_weights", pa.map_(pa.string(), pa.float32()), "map<string,float>"), (colbert, "colbert_vecs", pa.list_(pa.list_(pa.float32())), "array<array<float>>")]
+    real, name, number = (pa.float64(), "double", np.float64) if wide else (pa.float32(), "float", np.float32)
+    fields = [(dense, "dense_vecs", pa.list_(real), f"array<{name}>"), (sparse, "lexical_weights", pa.map_(pa.string(), real), f"map<string,{name}>"), (colbert, "colbert_vecs", pa.list_(pa.list_(real)), f"array<array<{name}>>")]
     asked = [(n, t) for on, n, t, _ in fields if on]
     kind = dict(tokens.dtypes)[key]
 
@@ -103,13 +104,13 @@ def encode(tokens: DataFrame, backbone: Backbone, heads: Heads, key: str = "doc_
                 for k, i in enumerate(group):
                     matrix[k, : len(ids[i])] = ids[i]
                 mask = (np.arange(width) < np.array([len(ids[i]) for i in group])[:, None]).astype(np.int64)
-                hidden = backbone(matrix, mask)
+                hidden = backbone(matrix, mask).astype(number)
                 for k, i in enumerate(group):
                     n = len(ids[i])
                     if dense:
                         out["dense_vecs"][i] = unit(hidden[k, 0])
                     if sparse:
-                        out["lexical_weights"][i] = token_weights(ids[i], np.maximum(hidden[k, :n] @ heads.sparse + np.float32(heads.sparse_bias), 0))
+                        out["lexical_weights"][i] = token_weights(ids[i], np.maximum(hidden[k, :n] @ heads.sparse + number(heads.sparse_bias), 0))
                     if colbert:
                         out["colbert_vecs"][i] = list(unit(hidden[k, 1:n] @ heads.colbert + heads.colbert_bias))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(out[n], t) for n, t in asked]], [key, *out])

@@ -14,7 +14,7 @@ BLOCK_BYTES = 32 << 20
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+    return np.array(column.to_pylist(), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -88,7 +88,7 @@ def max_sim(queries: DataFrame, rows: DataFrame) -> DataFrame:
 
         def best(batches, shared=shared):
             ids, pos, q = shared.value
-            for b in batches:
+            for b in batches if len(ids) else ():
                 out = []
                 for at in range(0, b.num_rows, 2048):
                     part = b.slice(at, 2048)

@@ -383,7 +383,7 @@ def encode_sparse(spark, d):
 @query(f"""WITH {HIDDEN}, c AS (SELECT doc_id, pos, h0 + h1 AS c0, h1 - h2 AS c1, h0 + h2 AS c2 FROM h WHERE pos > 0), n AS (SELECT *, sqrt(c0 * c0 + c1 * c1 + c2 * c2) AS n FROM c)
 SELECT doc_id, count(*) AS n_vectors, round(sum(c0 / n), 3) AS s0, round(sum(c1 / n), 3) AS s1, round(sum(c2 / n), 3) AS s2 FROM n GROUP BY doc_id""")
 def encode_colbert(spark, d):
-    got = encoding.encode(framed_ids(spark, d), encoding.test_backbone, encoding.TEST_HEADS, colbert=True)
+    got = encoding.encode(framed_ids(spark, d), encoding.test_backbone, encoding.TEST_HEADS, colbert=True, wide=True)
     rows = got.select("doc_id", F.explode("colbert_vecs").alias("v"))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_vectors"), *[F.round(F.sum(F.col("v")[i].cast("double")), 3).alias(f"s{i}") for i in range(3)])
 
@@ -485,3 +485,12 @@ def microbatch_windows(spark, d):
     """Event-time tumbling windows, the deterministic stand-in for a flush by time."""
     own = table(spark, d, "events").groupBy(F.window("ts", "1 minute").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
     return own.select(F.col("w.start").alias("minute"), "event_type", "n", "total")
+
+
+@query()
+def unigram_ids(spark, d):
+    """Token ids of every whole document by a vocabulary derived from all of them; no SQL, tests hold the segmentation against enumeration."""
+    from ..operators import tokenizer
+
+    docs = table(spark, d, "documents")
+    return tokenizer.token_ids(docs, "doc_id", "text", tokenizer.derived_vocabulary(docs, "text"))
