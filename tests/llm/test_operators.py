@@ -362,7 +362,7 @@ def test_segments_are_all_maximal():
 def test_url_filter(spark):
     urls = [
         "https://a.b.COM/en/1", "http://example.com/en/7?x", "http://notexample.com/en/7", "ftp://www.example.com/en/70/y#z", "http://example.net/de/8", "http://x.net/de/9",
-        "http://org/es/", "http://org/esx", "no scheme", None, "", "x://h?p/q", "http://casino-win.example.org/x", "http://thewords.example.org/fr/1", "HTTP://U:80/ü ü?q",
+        "http://org/es/", "http://org/esx", "no scheme", None, "", "x://h?p/q", "http://casino-win.example.org/x", "http://blog.thegarden.example.org/fr/1", "HTTP://U:80/ü ü?q",
     ]
     pages = spark.createDataFrame([(i, u, "", "h") for i, u in enumerate(urls)], "page_id long, url string, html string, HOST string")
     weights = url_filter.train(url_filter.seeds(spark))
