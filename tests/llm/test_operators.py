@@ -120,9 +120,8 @@ def test_near_groups(docs, empty, size, percent):
     assert near_dedup.near_groups(empty).count() == 0
 
 
-def test_near_groups_of_long_lists(spark, monkeypatch):
-    """Lists are split by a second value and components joined in the second pass: nothing is lost."""
-    monkeypatch.setattr(near_dedup, "LONG_LIST", 3)
+def test_near_groups_of_mixed_lists(spark):
+    """Copies near each other but not near their list's first: the second pass joins components, and nothing is lost."""
     r = random.Random(1)
     own = []
     for g in range(4):

@@ -7,8 +7,8 @@ the prefix principle, they share one among each one's rarest few. Inverted lists
 candidates; the union's sketch estimates their likeness and filters; the whole sets of whole texts decide.
 
 A list is not expanded into its pairs. First every member is compared with its list's smallest member, which links a
-group of copies as a star. Then lists whose members are in one component have nothing left to say; in the others only
-pairs across components are compared, after long lists have been split by a second shared value.
+group of copies as a star. Then lists whose members are in one component have nothing left to say; the documents of the
+others are compared across components by a prefix filter over their whole sets.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from .common import byte_texts, hashes, map_arrow, mix, pick, read, saved, width
 from .components import components
 from .exact_dedup import bucket, may_contain, run_filter, without
 
-#: Values of a sketch; standard deviations of slack; texts compared with one hub by one task; members from which a list is split.
-K, SIGMAS, HUB_SHARE, LONG_LIST = 64, 6.0, 64, 48
+#: Values of a sketch; standard deviations of slack; texts compared with one hub by one task.
+K, SIGMAS, HUB_SHARE = 64, 6.0, 64
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -73,7 +73,7 @@ def marks(docs: DataFrame, size: int, k: int) -> DataFrame:
 
 
 def rare_values(classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """(v, node, n, rest): for each class the values of its prefix, its rarest ones, that another class has too; ``rest`` are those of its shared values that are more frequent."""
+    """(v, node, n): for each class the values of its sketch's prefix, its rarest ones, that another class has too."""
     values = classes.select("node", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     times = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = values.join(times, "v").groupBy("node", "n", "s").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
@@ -81,8 +81,7 @@ def rare_values(classes: DataFrame, percent: int, k: int) -> DataFrame:
     # values that no other class has are rarer than all others, so they come first in the prefix
     length = F.greatest(F.lit(0), F.col("s") - least + 1 - (F.col("s") - F.size("vs")))
     kept = shared.select("node", "n", F.col("vs.v").alias("vs"), F.least(length, F.size("vs")).alias("length")).where("length > 0")
-    at = kept.select("node", "n", "vs", F.posexplode(F.slice("vs", F.lit(1), F.col("length"))).alias("i", "v"))
-    return at.select("v", "node", "n", F.slice("vs", F.col("i") + 2, F.lit(k)).alias("rest"))
+    return kept.select(F.explode(F.slice("vs", F.lit(1), F.col("length"))).alias("v"), "node", "n")
 
 
 def sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -118,9 +117,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     members = pairs.join(shares, "a").select(F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.hash("b"), F.col("shares")).alias("share"), F.lit(1).alias("role"))
     hubs = shares.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"))
     asked = saved(members.union(hubs))
-    mask = run_filter(asked.select(F.col("node").alias("digest")).distinct()).withColumnRenamed("bits", "mask")
-    some = docs.withColumn("bucket", bucket(F.col("node"))).join(F.broadcast(mask), "bucket").where(may_contain(F.col("node"), F.col("mask"))).select("node", "text")
-    texts = some.join(asked, "node").select("hub", "share", "role", "node", "text")
+    texts = some_texts(docs, asked).join(asked, "node").select("hub", "share", "role", "node", "text")
     spark = docs.sparkSession
     dealt = texts.repartition(width(spark), "hub", "share").sortWithinPartitions("hub", "share", "role")
 
@@ -146,26 +143,48 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return saved(map_arrow(dealt, compare, "a long, b long"))
 
 
-def across(entries: DataFrame, labels: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs (a, b) of list members that are in different components so far and that their sizes allow."""
-    own = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    own = saved(own)
-    lists = own.groupBy("v").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count(F.lit(1)).alias("m"), F.min("n").alias("n0")).where("l1 != l2")
-    mixed = own.join(lists.select("v", "m", "n0"), "v")
-    # a pair shares its first common value v and, unless one value is all that a member must share, a later one: long lists are split by it
-    least = F.least(F.lit(needed(1 << 40, percent, k)), F.ceil(F.col("n") * percent / 100))
-    long = (F.col("m") > LONG_LIST) & (F.least(F.lit(needed(1 << 40, percent, k)), F.ceil(F.col("n0") * percent / 100)) > 1)
-    split = mixed.where(long)
-    whole = mixed.where(~long).select("v", F.lit(0).cast("long").alias("w"), "node", "n", "label")
-    # in the rest at least ``least`` - 1 values are shared, so one of the first size - (least - 1) + 1 is
-    heads = split.select("v", "node", "n", "label", F.explode(F.slice("rest", F.lit(1), F.greatest(F.lit(0), F.size("rest") - least.cast("int") + 2))).alias("w"))
-    parts = whole.union(heads.select("v", "w", "node", "n", "label"))
-    kinds = parts.groupBy("v", "w").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 != l2").select("v", "w")
-    parts = parts.join(kinds, ["v", "w"])
-    left = parts.select("v", "w", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = parts.select("v", "w", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    pairs = left.join(right, ["v", "w"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sizes_fit(F.col("na"), F.col("nb"), percent))
-    return pairs.select("a", "b").distinct()
+def some_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (node, text) whose node is among ``nodes``, and the few others that a filter of fixed size lets pass: most texts are left before anything is shuffled."""
+    mask = run_filter(nodes.select(F.col("node").alias("digest")).distinct()).withColumnRenamed("bits", "mask")
+    return docs.withColumn("bucket", bucket(F.col("node"))).join(F.broadcast(mask), "bucket").where(may_contain(F.col("node"), F.col("mask"))).select("node", "text")
+
+
+def across(entries: DataFrame, labels: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents that a list holds, that are in different components so far and that may be alike enough.
+
+    The documents of lists with several components are compared by an exact prefix filter over their whole sets: in
+    the order from rare to frequent two such sets share a value early enough in both that what is left after it still
+    makes up the intersection that their sizes ask for. A copy too far from its group's other members has that many
+    values of its own before all shared ones, so it meets none of them, and a list gives few pairs.
+    """
+    own = saved(entries.select("v", "node").join(labels, "node", "left").select("v", "node", F.coalesce("label", "node").alias("label")))
+    mixed = own.groupBy("v").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 != l2").select("v")
+    nodes = saved(own.join(mixed, "v").select("node", "label").distinct())
+
+    def whole(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                sets = [shingle_set(t, size).astype(np.int64) for t in byte_texts(part)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "vs"])
+
+    sets = saved(map_arrow(some_texts(docs, nodes).join(nodes.select("node"), "node"), whole, "node long, vs array<long>"))
+    values = sets.select("node", F.size("vs").cast("long").alias("n"), F.explode("vs").alias("v"))
+    times = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = values.join(times, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    # values of no other set come first; a set's partners share a value among its first n - ceil(n * percent / 100) + 1
+    early = F.floor(F.col("n") * (100 - percent) / 100) + 1 - (F.col("n") - F.size("vs"))
+    kept = shared.where(early > 0).select("node", "n", (F.col("n") - F.size("vs")).alias("alone"), F.posexplode(F.slice("vs.v", F.lit(1), early.cast("int"))).alias("i", "v"))
+    # the largest partner whose intersection, as its size and this one's ask for it, can still follow from here
+    most = F.floor((F.col("n") - F.col("alone") - F.col("i")) * (100 + percent) / percent) - F.col("n")
+    kept = saved(kept.select("v", "node", "n", most.alias("most")).where(F.col("most") * 100 >= F.col("n") * percent).join(nodes, "node"))
+    kinds = kept.groupBy("v").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 != l2").select("v", "l1")
+    parts = kept.join(kinds, "v")
+    # one side leaves out the list's first component, so that a large one isn't set against itself
+    left = parts.where("label != l1").select("v", "l1", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("most").alias("mx"), F.col("label").alias("lx"))
+    right = kept.select("v", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("most").alias("my"), F.col("label").alias("ly"))
+    pairs = left.join(right, "v").where((F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("l1")) | (F.col("x") < F.col("y"))) & (F.col("ny") <= F.col("mx")) & (F.col("nx") <= F.col("my")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -187,7 +206,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -
     texts = base.select(F.col("doc_id").alias("node"), "text").where("node IS NOT NULL")
     star = saved(star)
     links = verified(likely(star, classes, percent, k), texts, size, percent)
-    again = across(entries, components(links), percent, k).join(star, ["a", "b"], "left_anti")
+    again = across(entries, components(links), texts, size, percent).join(star, ["a", "b"], "left_anti")
     links = links.union(verified(likely(again, classes, percent, k), texts, size, percent))
     # classes whose first document has one id are one document
     links = links.union(classes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("node").alias("a"), F.col("node").alias("b")))
