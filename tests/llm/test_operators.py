@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vectide.llm import byte_bpe, exact_dedup, fingerprints, licenses, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
 from vectide.llm.components import components
@@ -274,6 +275,15 @@ def test_fingerprints_within(spark):
     same(got(found, "fingerprint", "other", "distance"), want)
 
 
+def test_near_counts(spark):
+    r = random.Random(3)
+    base = [r.getrandbits(128) for _ in range(8)]
+    own = base + base[:3] + [b ^ (1 << r.randrange(128)) for b in base for _ in range(3)] + [base[0] ^ 0b1111]
+    df = spark.createDataFrame([(i, f"{x:032x}") for i, x in enumerate(own)], "doc_id long, fingerprint string")
+    want = [(i, sum((x ^ y).bit_count() <= 3 for y in own) - 1 if i % 2 == 0 else None) for i, x in enumerate(own)]
+    same(got(fingerprints.near_counts(df, F.col("doc_id") % 2 == 0, 3), "doc_id", "n_near"), want)
+
+
 def test_licenses(docs, empty, spark):
     assert licenses.scan(docs).count() == len(rows()) and licenses.scan(empty).count() == 0
     cases = [

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, pick, read, width
+from .common import map_arrow, pick, read, saved, width
 
 #: Bits of a fingerprint, and the weights of a word and of a pair of consecutive words.
 BITS, WORD_WEIGHT, PAIR_WEIGHT = 128, 1, 2
@@ -170,5 +170,23 @@ def edits(docs: DataFrame) -> DataFrame:
     return map_arrow(dealt, follow, schema)
 
 
+def near_counts(marked: DataFrame, asked, radius: int) -> DataFrame:
+    """``marked``, a table with a column fingerprint, and ``n_near``: for rows where ``asked`` holds, how many other rows have a fingerprint within the radius, equal ones included; null for the rest.
+
+    Fingerprints stand for the rows that share them, so copies are counted and never paired.
+    """
+    marked = saved(marked)
+    sizes = saved(marked.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("rows_of"), F.max(asked).alias("is_asked")))
+    queries = sizes.where("is_asked").select("fingerprint")
+    others = within(queries, sizes, radius).join(sizes.select(F.col("fingerprint").alias("other"), F.col("rows_of").alias("n")), "other")
+    more = others.groupBy("fingerprint").agg(F.sum("n").alias("more"))
+    counts = sizes.where("is_asked").join(more, "fingerprint", "left").select("fingerprint", (F.col("rows_of") - 1 + F.coalesce("more", F.lit(0))).alias("found"))
+    return marked.join(counts, "fingerprint", "left").select(*marked.columns, F.when(asked, F.col("found")).alias("n_near"))
+
+
+#: Bits in which near fingerprints may differ, in the query.
+RADIUS = 3
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edits(read(spark, sf_dir, "documents"))
+    return near_counts(edits(read(spark, sf_dir, "documents")), F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False)), RADIUS)

@@ -27,7 +27,9 @@ RUN = 8
 #: The sketch has two rows of at most 2^MOST_BITS cells; only a bit a cell, counted more than once or not, is sent to every task: 2 x 64 MB at most. Beyond that it lets more windows pass to the exact grouping.
 LEAST_BITS, MOST_BITS, SLICE_BITS = 16, 29, 20
 #: Windows grouped at once by a task, about; words hashed at once.
-BUCKET, CHUNK = 4_000_000, 300_000
+BUCKET, CHUNK = 4_000_000, 150_000
+#: Anchors and windows that a task holds before it sends them on.
+ANCHORS_HELD, WINDOWS_HELD = 1_000_000, 500_000
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 INVERSE = np.array([pow(int(x), -1, 1 << 64) for x in ODD], np.uint64)
@@ -141,7 +143,7 @@ def sketch(docs: DataFrame, size: int, bits: int) -> list[bytearray]:
                     new = np.append(True, w.place[1:] != w.place[:-1])  # places ascend, so each counts once
                     held.append(w.minimizer[new])
                     n += int(new.sum())
-                if n > 2_000_000:
+                if n > ANCHORS_HELD:
                     yield flush()
                     held, n = [], 0
         if n:
@@ -248,7 +250,7 @@ def repeated(docs: DataFrame, size: int, bits: int, buckets: int, filled: list[b
                 e["pos"], e["ref"] = w.start[which], w.text[which] + first
                 held.append((e, (mix(w.minimizer[which]) % np.uint64(buckets)).astype(np.int64)))
                 n += len(which)
-                if n > 1_500_000:
+                if n > WINDOWS_HELD:
                     yield flush(held, keys)
                     held, n = [], 0
             if n:
