@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import uuid
 
 import pandas as pd
 import regex
@@ -124,23 +125,25 @@ def token_ids(docs: DataFrame, key: str, text: str, vocabulary: Vocabulary, max_
         raise ValueError("max_length must be 2 at least")
     v = vocabulary
     shared = docs.sparkSession.sparkContext.broadcast((v.pieces, v.scores, v.types, v.unknown, v.charmap))
+    name = uuid.uuid4().hex
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
-        own = _worker_tokenizer(shared)
+        own = _worker_tokenizer(name, shared)
         return texts.map(lambda t: own.encode(t or "", max_length))
 
     return docs.select(key, ids(F.col(text)).alias("ids"))
 
 
-_held: dict[int, Unigram] = {}
+_held: dict[str, Unigram] = {}
 
 
-def _worker_tokenizer(shared) -> Unigram:
-    if shared.value[0] and id(shared.value) not in _held:
+def _worker_tokenizer(name: str, shared) -> Unigram:
+    """The worker's tokenizer of that name; one is held at a time."""
+    if name not in _held:
         _held.clear()
-        _held[id(shared.value)] = Unigram(Vocabulary(*shared.value))
-    return _held[id(shared.value)]
+        _held[name] = Unigram(Vocabulary(*shared.value))
+    return _held[name]
 
 
 def derived_vocabulary(docs: DataFrame, text: str, least: int = 50, longest: int = 4) -> Vocabulary:
