@@ -230,6 +230,19 @@ def decode_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.nullif(F.char_length(back), F.lit(0)).alias("n_chars"), F.when(back != "", F.md5(back)).alias("digest"))
 
 
+#: Ranges of code points and their names: a small dimension that code points are looked up in, 0 and "other" outside.
+RANGES = [(0x20, 0x7E, "ascii"), (0xA0, 0xFF, "latin-1"), (0x100, 0x24F, "latin extended"), (0x300, 0x36F, "marks"), (0x370, 0x3FF, "greek"), (0x400, 0x4FF, "cyrillic"), (0x2000, 0x206F, "punctuation"), (0x3040, 0x30FF, "kana"), (0x4E00, 0x9FFF, "han"), (0x1F300, 0x1FAFF, "pictographs")]
+
+
+@query(f"""WITH c AS (SELECT unicode(unnest(string_split(text, ''))) AS c FROM documents), r AS (SELECT * FROM (VALUES {', '.join(f"({a}, {b}, '{n}')" for a, b, n in RANGES)}) AS t(a, b, name))
+SELECT coalesce(name, 'other') AS name, count(*) AS n, count(DISTINCT c) AS n_distinct FROM c LEFT JOIN r ON c BETWEEN a AND b GROUP BY ALL""")
+def code_point_ranges(spark, d):
+    points = table(spark, d, "documents").select(F.explode(F.split("text", "")).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    own = points.where("ch != ''").select(F.ascii("ch").alias("c"), "n")
+    name = F.coalesce(*[F.when(F.col("c").between(a, b), n) for a, b, n in RANGES], F.lit("other"))
+    return own.groupBy(name.alias("name")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_distinct"))
+
+
 # --- lexical ------------------------------------------------------------------------------------------------------
 
 
