@@ -284,6 +284,33 @@ def test_near_counts(spark):
     same(got(fingerprints.near_counts(df, F.col("doc_id") % 2 == 0, 3), "doc_id", "n_near"), want)
 
 
+def test_fingerprints_within_the_query_radius(spark):
+    r = random.Random(4)
+    base = [r.getrandbits(128) for _ in range(20)]
+    own = base + [b ^ sum(1 << k for k in r.sample(range(128), d)) for b in base for d in range(1, 19)]
+    for radius in (0, 7, fingerprints.RADIUS, 17):
+        want = [(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in base for b in own if 0 < (a ^ b).bit_count() <= radius]
+        found = fingerprints.within(*[spark.createDataFrame([(f"{x:032x}",) for x in xs], "fingerprint string") for xs in (base, own)], radius)
+        same(got(found, "fingerprint", "other", "distance"), want)
+
+
+def test_edited_texts_are_near(spark, tmp_path):
+    r = random.Random(5)
+    vocabulary = ["".join(r.choices("abcdefghij", k=r.randrange(2, 9))) for _ in range(800)]
+    docs = []
+    for i in range(4):
+        words = r.choices(vocabulary, k=300)
+        docs.append((100 * i, " ".join(words)))
+        for k in range(6):
+            edited = list(words)
+            for at in r.sample(range(300), 1 + k % 3):
+                edited[at] = r.choice(vocabulary)
+            docs.append((100 * i + 1 + k, " ".join(edited)))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = got(fingerprints.op10_fingerprints(spark, str(tmp_path)).where("doc_id % 100 = 0"), "doc_id", "n_near")
+    same(found, [(100 * i, 6) for i in range(4)])
+
+
 def test_licenses(docs, empty, spark):
     assert licenses.scan(docs).count() == len(rows()) and licenses.scan(empty).count() == 0
     cases = [

@@ -1,5 +1,5 @@
-"""Document fingerprints: SimHash. The hashes of a text's terms, weighted, vote on each bit's sign; permuted block
-tables find all fingerprints within a Hamming radius."""
+"""Document fingerprints: SimHash. The hashes of a text's terms, weighted, vote on each bit's sign; tables of
+blocks, probed with few bits flipped, find all fingerprints within a Hamming radius."""
 
 from __future__ import annotations
 
@@ -50,49 +50,60 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_arrow(pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fingerprint string")
 
 
-def blocks(radius: int, spare: int = 2) -> list[list[tuple[int, int]]]:
-    """The tables' keys as bit ranges: of radius + spare blocks, fingerprints that differ in radius bits at most agree in at least spare whole ones, so each choice of spare blocks is a table."""
-    n = radius + spare
+def blocks(radius: int) -> tuple[list[tuple[int, int]], int]:
+    """The blocks as bit ranges, and how many bits of its nearest block a pair within the radius differs in at most: with n blocks, radius // n. Five blocks or, for that to stay at two bits, more."""
+    n = max(5, radius // 3 + 1)
     edge = [BITS * i // n for i in range(n + 1)]
-    return [[(edge[i], edge[i + 1]) for i in chosen] for chosen in itertools.combinations(range(n), spare)]
+    return list(zip(edge, edge[1:])), radius // n
 
 
-def keys(marks: DataFrame, radius: int, spare: int = 2) -> DataFrame:
-    """A row for each fingerprint and table: (fingerprint, table, key)."""
-    tables = blocks(radius, spare)
+def keys(marks: DataFrame, radius: int, probes: bool) -> DataFrame:
+    """(hi, lo, block, key): the fingerprint's halves and the bits of each of its blocks; for ``probes`` also each value that these become if as many of them as blocks() says are flipped."""
+    ranges, slack = blocks(radius)
 
     def run(batches):
+        flips = [np.array([sum(1 << i for i in c) for k in range((slack if probes else 0) + 1) for c in itertools.combinations(range(e - a), k)], np.int64) for a, e in ranges]
         for b in batches:
             marks_ = b.column(0).to_pylist()
-            bits = np.unpackbits(np.frombuffer(bytes.fromhex("".join(marks_)), np.uint8).reshape(len(marks_), BITS // 8), axis=1)
-            out = []
-            for chosen in tables:
-                part = np.packbits(np.concatenate([bits[:, a:e] for a, e in chosen], axis=1), axis=1)
-                out += [p.tobytes() for p in part]
-            yield pa.RecordBatch.from_arrays([pa.array(marks_ * len(tables)), pa.array(np.repeat(np.arange(len(tables), dtype=np.int32), len(marks_))), pa.array(out, pa.binary())], ["fingerprint", "block", "key"])
+            for at in range(0, len(marks_), 200):
+                raw = np.frombuffer(bytes.fromhex("".join(marks_[at : at + 200])), np.uint8).reshape(-1, BITS // 8)
+                halves, bits = raw.view(">i8").astype(np.int64), np.unpackbits(raw, axis=1).astype(np.int64)
+                for j, ((a, e), flip) in enumerate(zip(ranges, flips)):
+                    key = ((bits[:, a:e] << np.arange(e - a - 1, -1, -1)).sum(axis=1)[:, None] ^ flip).ravel()
+                    own = np.repeat(halves, len(flip), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(np.full(len(key), j, np.int32)), pa.array(key)], ["hi", "lo", "block", "key"])
 
-    return map_arrow(marks.select("fingerprint"), run, "fingerprint string, block int, key binary")
-
-
-def distance(a, b):
-    """Hamming distance of two columns of fingerprints in hex."""
-    def part(c, i):
-        return F.conv(F.substring(c, i, 8), 16, 10).cast("long")
-
-    return sum((F.bit_count(part(a, i).bitwiseXOR(part(b, i))) for i in range(1, BITS // 4, 8)), F.lit(0))
+    return map_arrow(marks.select("fingerprint"), run, "hi long, lo long, block int, key long")
 
 
 def within(queries: DataFrame, all_marks: DataFrame, radius: int) -> DataFrame:
     """(fingerprint, other, distance): for each distinct fingerprint of ``queries`` all distinct other ones of ``all_marks`` within the radius.
 
     Both are tables with a column fingerprint; copies are one fingerprint, to which rows belong by it. Nulls are left
-    out. Complete: no bucket is capped, and agreement in whole blocks follows from the distance.
+    out. Complete: no bucket is capped, and that some block of a pair is a probe of the query's follows from the
+    distance. A pair is given once, by the first such block.
     """
-    mine = keys(queries.select("fingerprint").dropna().distinct(), radius)
-    theirs = keys(all_marks.select("fingerprint").dropna().distinct(), radius).withColumnRenamed("fingerprint", "other")
-    found = mine.join(theirs, ["block", "key"]).where("fingerprint != other")
-    found = found.select("fingerprint", "other", distance(F.col("fingerprint"), F.col("other")).alias("distance")).where(F.col("distance") <= radius)
-    return found.distinct()
+    ranges, slack = blocks(radius)
+    mine = keys(queries.select("fingerprint").dropna().distinct(), radius, True)
+    theirs = keys(all_marks.select("fingerprint").dropna().distinct(), radius, False).toDF("hi2", "lo2", "block", "key")
+    hi, lo = F.col("hi").bitwiseXOR(F.col("hi2")), F.col("lo").bitwiseXOR(F.col("lo2"))
+
+    def differ(a: int, e: int):
+        """Bits of the range that differ."""
+        masks = [sum(1 << (63 - i % 64) for i in range(a, e) if i // 64 == half) for half in (0, 1)]
+        return sum((F.bit_count(x.bitwiseAND(F.lit(m - (m >> 63 << 64)))) for x, m in zip((hi, lo), masks) if m), F.lit(0))
+
+    distance = F.bit_count(hi) + F.bit_count(lo)
+    first = F.lit(True)
+    for j, (a, e) in enumerate(ranges[:-1]):
+        first = first & ((F.col("block") <= j) | (differ(a, e) > slack))
+    # by merging: Spark takes the probes for as small as the queries that they are made from, and would broadcast them
+    found = mine.hint("merge").join(theirs, ["block", "key"]).where((distance > 0) & (distance <= radius) & first)
+
+    def text(*halves: str):
+        return F.concat(*[F.lower(F.lpad(F.hex(h), 16, "0")) for h in halves])
+
+    return found.select(text("hi", "lo").alias("fingerprint"), text("hi2", "lo2").alias("other"), distance.alias("distance"))
 
 
 def edited_text(text: str, following: str) -> str:
@@ -184,8 +195,8 @@ def near_counts(marked: DataFrame, asked, radius: int) -> DataFrame:
     return marked.join(counts, "fingerprint", "left").select(*marked.columns, F.when(asked, F.col("found")).alias("n_near"))
 
 
-#: Bits in which near fingerprints may differ, in the query.
-RADIUS = 3
+#: Bits in which near fingerprints may differ, in the query: measured on near copies, see README; the most that five blocks find.
+RADIUS = 14
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
