@@ -248,6 +248,26 @@ def test_byte_bpe(docs, empty):
     assert byte_bpe.round_trip(empty, path, public.PATTERN).count() == 0
 
 
+def test_packing_of_all_lengths(monkeypatch):
+    r = random.Random(0)
+    counts = {x: r.randrange(1000, 20000) if 400 <= x <= 900 else r.randrange(1, 50) for x in range(1, 2049)}
+    monkeypatch.setattr(packing, "NODES", 5)
+    found = packing.plan(counts)
+    used = collections.Counter()
+    for lengths, n in found:
+        assert sum(lengths) <= packing.CAPACITY
+        for x in lengths:
+            used[x] += n
+    assert used == counts
+    assert sum(n for _, n in found) < 0.98 * sum(n for _, n in packing.best_fit(counts, packing.CAPACITY))
+
+
+def test_fillings_of_many_small_pieces():
+    counts = {1: 3000, 7: 20}
+    assert max(map(sum, packing.fillings(2000, counts, [1, 7]))) == 2000
+    assert max(map(sum, packing.fillings(2000, {1: 3000}, [1]))) == 2000
+
+
 def test_edits(docs, empty, spark):
     own = sorted(plain(), key=lambda r: -r[0])
     out = fingerprints.edits(docs)

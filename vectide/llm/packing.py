@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, pick, read, saved
 
 CAPACITY = 2048
-#: Fillings of one largest length that are tried, looked at on the way to them, and nodes of the whole search; beyond the last the best solution so far stands.
+#: Fillings of one largest length that are tried, looked at on the way to them, and turns back to one not tried yet; beyond the last the best solution so far stands. The way down after a turn is never cut short.
 WIDTH, LOOKED, NODES = 4, 400, 2_000
 #: Distinct words remembered in a worker, at most.
 REMEMBERED = 600_000
@@ -119,6 +119,16 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int]) -> list[tupl
     looked = 0
     smallest = lengths[0] if lengths else room + 1
 
+    def completed(left: int, below: int, chosen: tuple[int, ...]) -> tuple[int, tuple[int, ...]]:
+        """The filling by the largest that fits, and so on."""
+        i = bisect.bisect_right(lengths, min(left, below)) - 1
+        while i >= 0:
+            x = lengths[i]
+            take = min(left // x, counts[x] - chosen.count(x))
+            left, chosen = left - x * take, chosen + (x,) * take
+            i = min(i, bisect.bisect_right(lengths, left)) - 1
+        return left, chosen
+
     def search(left: int, below: int, chosen: tuple[int, ...]) -> bool:
         nonlocal looked
         i = bisect.bisect_right(lengths, min(left, below)) - 1
@@ -137,10 +147,10 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int]) -> list[tupl
                 out.append((left - x, (*chosen, x)))
                 if left == x:
                     return True  # no filling with the same beginning wastes less
-            elif len(chosen) < 60:
+            elif looked < LOOKED:
                 search(left - x, x, (*chosen, x))
             else:
-                out.append((left - x, (*chosen, x)))
+                out.append(completed(left - x, x, (*chosen, x)))
             if looked > LOOKED:
                 return False
         if not tried:
@@ -207,34 +217,38 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     total = sum(x * n for x, n in counts.items())
     best = best_fit(counts, capacity)
     fewest = sum(n for _, n in best)
-    nodes = 0
-    # depth first; a frame holds the counts left, the path to it, its sequences and waste, and the fillings still to try
-    stack = [(dict(counts), (), 0, 0, None)]
-    while stack and fewest > least and nodes < NODES:
-        left, path, used, waste, options = stack.pop()
-        if not left:
-            if used < fewest:
-                fewest, best = used, []
-                while path:
-                    path, step = path
-                    best.append(step)
-                best.reverse()
-            continue
+    # depth first; a level holds the fillings still to try and the step taken, which is undone on the way back
+    left, lengths, rest, used, waste, turns = dict(counts), sorted(counts), total, 0, 0, 0
+    levels: list[tuple[int, list[tuple[int, ...]], list[tuple[tuple[int, ...], int]]]] = []
+    while fewest > least:
+        if not left and used < fewest:
+            fewest, best = used, [step for *_, taken in levels for step in taken]
         # the waste an improvement may still make: one sequence fewer than the incumbent's, less the pieces
-        if waste > (fewest - 1) * capacity - total or used + max(1, -(-sum(x * n for x, n in left.items()) // capacity)) >= fewest:
-            continue
-        nodes += 1
-        lengths = sorted(left)
-        largest = lengths[-1]
-        if options is None:
+        elif left and waste <= (fewest - 1) * capacity - total and used + max(1, -(-rest // capacity)) < fewest:
+            largest = lengths[-1]
             left[largest] -= 1
-            options = fillings(capacity - largest, left, [x for x in lengths if left[x]])
+            options = fillings(capacity - largest, left, lengths if left[largest] else lengths[:-1])
             left[largest] += 1
-        for f in reversed(options):
-            after, order = dict(left), list(lengths)
-            step = (largest, *f)
-            times = _use(after, order, step)
-            stack.append((after, (path, (step, times)), used + times, waste + (capacity - sum(step)) * times, None))
+            levels.append((largest, options[::-1], []))
+        while levels:
+            largest, options, taken = levels[-1]
+            if taken:
+                step, times = taken.pop()
+                turns += bool(options)
+                for x in step:
+                    if x not in left:
+                        bisect.insort(lengths, x)
+                    left[x] = left.get(x, 0) + times
+                rest, used, waste = rest + sum(step) * times, used - times, waste - (capacity - sum(step)) * times
+            if options:
+                break
+            levels.pop()
+        if not levels or turns > NODES:
+            break
+        step = (largest, *options.pop())
+        times = _use(left, lengths, step)
+        taken.append((step, times))
+        rest, used, waste = rest - sum(step) * times, used + times, waste + (capacity - sum(step)) * times
     return best
 
 
