@@ -43,6 +43,23 @@ def test_query_is_its_sql(spark, duck, name):
     assert mine == theirs and mine
 
 
+def test_whole_documents_are_encoded(spark, tmp_path):
+    n = {1: 3, 2: 600, 3: 9000}
+    spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(x))) for i, x in n.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    d, width = str(tmp_path), {i: min(x + 2, X.MAX_LENGTH) for i, x in n.items()}
+    ids = {r["doc_id"]: r["ids"] for r in plans.framed_ids(spark, d, X.MAX_LENGTH).collect()}
+    assert {i: len(x) for i, x in ids.items()} == width
+    assert {r["doc_id"]: (r["width"], r["real_ids"]) for r in plans.QUERIES["pad_mask_corpus"](spark, d).collect()} == {i: (X.MAX_LENGTH, x) for i, x in width.items()}
+    assert {r["doc_id"]: r["n_vectors"] for r in plans.QUERIES["encode_colbert_corpus"](spark, d).collect()} == {i: x - 1 for i, x in width.items()}
+    want = {}
+    for i, own in ids.items():
+        for pos, t in enumerate(own):
+            w = max(0.5 + 0.25 * (t % 7) - 0.125 * (pos % 5) - 0.5, 0)
+            if w > 0 and t > 3:
+                want[i, t] = max(w, want.get((i, t), 0))
+    assert {(r["doc_id"], r["tid"]): r["w"] for r in plans.QUERIES["encode_sparse_corpus"](spark, d).collect()} == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

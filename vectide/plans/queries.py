@@ -214,6 +214,11 @@ def length_buckets(spark, d):
 IDS = f"ids AS (SELECT doc_id, list_transform({WORDS}, lambda w: {TID}::INT) AS ids FROM documents), framed AS (SELECT doc_id, list_concat([0], list_concat(ids[1:510], [2])) AS ids FROM ids)"
 
 
+def whole(name: str) -> str:
+    """The SQL of a query over documents cut as queries are, with them cut at the longest that is encoded instead."""
+    return SQL[name].replace(f"ids[1:{X.QUERY_MAX_LENGTH - 2}]", f"ids[1:{X.MAX_LENGTH - 2}]")
+
+
 def framed_ids(spark, d, max_length=X.QUERY_MAX_LENGTH):
     return table(spark, d, "documents").select("doc_id", X.framed(F.transform(X.words(F.col("text")), X.hashed_id), max_length).alias("ids"))
 
@@ -367,13 +372,18 @@ def padding_waste(spark, d):
 @query(f"""WITH {IDS}, w AS (SELECT doc_id // 64 AS call, max(len(ids)) AS width FROM framed GROUP BY ALL),
 p AS (SELECT doc_id, list_concat(ids, list_resize([]::INT[], width - len(ids), 1)) AS ids, len(ids) AS n FROM framed JOIN w ON w.call = doc_id // 64)
 SELECT doc_id, len(ids)::INT AS width, n::INT AS real_ids, list_sum(ids)::BIGINT AS total FROM p""")
-def pad_mask(spark, d):
-    ids = framed_ids(spark, d).withColumn("call", F.floor(F.col("doc_id") / 64))
+def pad_mask(spark, d, max_length=X.QUERY_MAX_LENGTH):
+    ids = framed_ids(spark, d, max_length).withColumn("call", F.floor(F.col("doc_id") / 64))
     widths = ids.groupBy("call").agg(F.max(F.size("ids")).alias("w"))
     own = ids.join(widths, "call").select("doc_id", X.padded(F.col("ids"), F.col("w")).alias("p"), F.size("ids").alias("real_ids"))
     return own.select("doc_id", F.size("p").alias("width"), "real_ids", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
+@query(whole("pad_mask"))
+def pad_mask_corpus(spark, d):
+    return pad_mask(spark, d, X.MAX_LENGTH)
+
+
 # --- encoding with the closed-form test backbone ------------------------------------------------------------------------
 
 HIDDEN = f"""{IDS}, hid AS (SELECT doc_id, unnest(ids) AS tid, unnest(range(0, len(ids))) AS pos, len(ids) AS n FROM framed),
@@ -388,19 +398,29 @@ def encode_dense(spark, d):
 
 @query(f"""WITH {HIDDEN}, w AS (SELECT doc_id, tid, greatest(0.5 * h0 + 0.25 * h1 - 0.125 * h2 - 0.5, 0) AS w FROM h)
 SELECT doc_id, tid, max(w) AS w FROM w WHERE w > 0 AND tid NOT IN (0, 1, 2, 3) GROUP BY ALL""")
-def encode_sparse(spark, d):
-    got = encoding.encode(framed_ids(spark, d), encoding.test_backbone, encoding.TEST_HEADS, sparse=True)
+def encode_sparse(spark, d, max_length=X.QUERY_MAX_LENGTH):
+    got = encoding.encode(framed_ids(spark, d, max_length), encoding.test_backbone, encoding.TEST_HEADS, sparse=True)
     return got.select("doc_id", F.explode("lexical_weights").alias("tid", "w")).select("doc_id", F.col("tid").cast("int").alias("tid"), F.col("w").cast("double").alias("w"))
 
 
 @query(f"""WITH {HIDDEN}, c AS (SELECT doc_id, pos, h0 + h1 AS c0, h1 - h2 AS c1, h0 + h2 AS c2 FROM h WHERE pos > 0), n AS (SELECT *, sqrt(c0 * c0 + c1 * c1 + c2 * c2) AS n FROM c)
 SELECT doc_id, count(*) AS n_vectors, round(sum(c0 / n), 3) AS s0, round(sum(c1 / n), 3) AS s1, round(sum(c2 / n), 3) AS s2 FROM n GROUP BY doc_id""")
-def encode_colbert(spark, d):
-    got = encoding.encode(framed_ids(spark, d), encoding.test_backbone, encoding.TEST_HEADS, colbert=True, wide=True)
+def encode_colbert(spark, d, max_length=X.QUERY_MAX_LENGTH):
+    got = encoding.encode(framed_ids(spark, d, max_length), encoding.test_backbone, encoding.TEST_HEADS, colbert=True, wide=True)
     rows = got.select("doc_id", F.explode("colbert_vecs").alias("v"))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_vectors"), *[F.round(F.sum(F.col("v")[i].cast("double")), 3).alias(f"s{i}") for i in range(3)])
 
 
+@query(whole("encode_sparse"))
+def encode_sparse_corpus(spark, d):
+    return encode_sparse(spark, d, X.MAX_LENGTH)
+
+
+@query(whole("encode_colbert"))
+def encode_colbert_corpus(spark, d):
+    return encode_colbert(spark, d, X.MAX_LENGTH)
+
+
 # --- evaluation -----------------------------------------------------------------------------------------------------
 
 #: The candidate's weights: rounded to tenths, and those below a tenth gone.
