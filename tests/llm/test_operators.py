@@ -355,6 +355,17 @@ def test_fuzzy_finds_every_edit():
         assert [x[0] for x in found] == ["mit"]
 
 
+def test_fuzzy_finds_adjacent_notices():
+    edited, exact, other = "released under the mit licence", "released under the mit license", "released undr the mit license"
+    for texts in ([edited, exact], [edited, other, exact], [edited, exact, other], [exact, exact, edited]):
+        words, spans = "", []
+        for t in texts:
+            spans.append((len(words), len(words) + len(t)))
+            words += f"{t} "
+        found = licenses.fuzzy(words[:-1], ((exact, "mit"),))
+        assert len(found) == len(texts) and all(abs(a - c) <= 1 and abs(b - d) <= 1 for (_, a, b, _), (c, d) in zip(found, spans))
+
+
 def labelled(spark, n=400):
     r = random.Random(0)
     words = [f"w{i}" for i in range(300)]

@@ -80,9 +80,14 @@ def fuzzy(words: str, notices: tuple[tuple[str, str], ...]) -> list[tuple[str, i
                 own.append([a, b])
     out = []
     for i, own in spans.items():
-        for a, b in own:
-            for m in patterns[i].finditer(words, a, min(b, len(words))):
+        least = len(notices[i][0]) - edits[i]
+        left = [(a, min(b, len(words))) for a, b in own]
+        while left:  # a pattern finds the closest match of a part; what stands before and behind it is searched again
+            a, b = left.pop()
+            m = patterns[i].search(words, a, b) if b - a >= least else None
+            if m:
                 out.append((notices[i][1], m.start(), m.end(), sum(m.fuzzy_counts)))
+                left += [(a, m.start()), (m.end(), b)]
     best: list[tuple[str, int, int, int]] = []
     for x in sorted(out, key=lambda x: (x[3], x[1] - x[2], x[1], x[0])):  # of overlapping places the one with the fewest edits, then the longest
         if all(x[2] <= y[1] or y[2] <= x[1] for y in best):
