@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -60,8 +62,49 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def give_back() -> None:
+    """Returns memory that a finished task held to the machine; a worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+#: A key is hot that holds more than this share of a table's rows, so there are at most HOT of them.
+HOT = 1000
+
+
+def hot_keys(rows: DataFrame, key: str) -> list:
+    """The keys that hold more than one in HOT of the rows: fewer than HOT of them, whatever the table."""
+    total = rows.count()
+    return [r[0] for r in rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") * HOT > total) & F.col(key).isNotNull()).select(key).collect()]
+
+
+def join_hot(rows: DataFrame, one: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one``, which has one row a key. The rows of hot keys stay where they are and the keys' rows of ``one``, fewer than HOT, go to them; the others are dealt out by key."""
+    if not hot:
+        return rows.join(one, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.where(is_hot).join(F.broadcast(one.where(is_hot)), key, how).unionByName(rows.where(~is_hot).join(one.where(~is_hot), key, how))
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what saved() wrote for tables that nothing will read again."""
+    for df in tables:
+        plan = df._jdf.queryExecution().logical()
+        if plan.getClass().getSimpleName() == "LogicalRDD" and plan.rdd().getCheckpointFile().isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(plan.rdd().getCheckpointFile().get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def byte_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

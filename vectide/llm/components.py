@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 
 ROUNDS = 60
 
@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round joins every node's larger neighbours to the smallest of its neighbours and then its smaller neighbours
     to the smallest; minima are aggregated where the rows are, and no neighbourhood is gathered. Rounds grow with the
-    logarithm of a component's size; the edges are written to the shared folder after each.
+    logarithm of a component's size; the edges are written to the shared folder after each, and those of the round before are deleted.
     """
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before = None
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        now = saved(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct())
+        last, now = now, saved(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct())
+        forget(last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

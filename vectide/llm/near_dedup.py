@@ -1,27 +1,30 @@
 """Near-dedup by bottom-k sketches of one hash function.
 
-A document is the set of its distinct shingles; documents of one set are a class, and classes are what is compared.
-A sketch keeps the k smallest shingle hashes. Of two sets at least as alike as the threshold the sketches share so
-many values (to six standard deviations of the hash's draw, exactly where a set has no more than k shingles) that, by
-the prefix principle, they share one among each one's rarest few. Inverted lists of those rare values generate
+A document is the set of its distinct shingles; documents of the same words are a class, and classes are what is
+compared. A sketch keeps the k smallest shingle hashes. Of two sets at least as alike as the threshold the sketches
+share so many values (to six standard deviations of the hash's draw, exactly where a set has no more than k shingles)
+that, by the prefix principle, they share one among each one's rarest few. Inverted lists of those rare values generate
 candidates; the union's sketch estimates their likeness and filters; the whole sets of whole texts decide.
 
-A list is not expanded into its pairs. First every member is compared with its list's smallest member, which links a
-group of copies as a star. Then lists whose members are in one component have nothing left to say; the documents of the
-others are compared across components by a prefix filter over their whole sets.
+A list is not expanded into its pairs. First every member is compared with its list's hub, the member with the fewest
+values of its own, which links a group of copies as a star. Then lists whose members are in one component have nothing
+left to say. Of the others only documents stay that share as many sketch values as a link needs with documents of other
+components, all those together; they are compared across components by a prefix filter over their whole sets.
+
+``sure=True`` does without the sketches' chance: the exact prefix filter runs over all documents.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, hashes, map_arrow, mix, pick, read, saved, width
+from .common import byte_texts, forget, hashes, hot_keys, join_hot, map_arrow, mix, pick, read, saved, width
 from .components import components
 from .exact_dedup import bucket, may_contain, run_filter, without
 
@@ -29,9 +32,8 @@ from .exact_dedup import bucket, may_contain, run_filter, without
 K, SIGMAS, HUB_SHARE = 64, 6.0, 64
 
 
-def shingle_set(text: bytes, size: int) -> np.ndarray:
-    """Ascending distinct 64-bit hashes of the shingles: A-Z lower-cased words without ASCII white space, ``size`` consecutive ones each, or all of them where there are fewer; none for a text without words."""
-    words = text.lower().split()
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """Ascending distinct 64-bit hashes of the shingles: ``size`` consecutive words each, or all of them where there are fewer; none without words."""
     if not words:
         return np.zeros(0, np.uint64)
     h = hashes(words)
@@ -43,6 +45,11 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(out)
 
 
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """shingle_hashes of a text's words: A-Z lower-cased, without ASCII white space."""
+    return shingle_hashes(text.lower().split(), size)
+
+
 def exact_set(text: bytes, size: int) -> set:
     """The shingles themselves."""
     words = text.lower().split()
@@ -55,15 +62,21 @@ def needed(n: int, percent: int, k: int = K) -> int:
     return max(1, min(math.floor(k * t - SIGMAS * math.sqrt(k * t * (1 - t))), -(-n * percent // 100)))
 
 
+def least_shared(n: Column, percent: int, k: int) -> Column:
+    """needed() of a column of set sizes."""
+    return F.greatest(F.lit(1), F.least(F.lit(needed(1 << 40, percent, k)), F.ceil(n * percent / 100))).cast("int")
+
+
 def marks(docs: DataFrame, size: int, k: int) -> DataFrame:
-    """(doc_id, n, d1, d2, sketch) for each row: set size, the set's 128-bit digest as two integers, and its sketch, ascending."""
+    """(doc_id, n, d1, d2, sketch) for each row: set size, 128 bits of the SHA-256 of its words as two integers, and its sketch, ascending."""
     def run(batches):
         for b in batches:
             n, d1, d2, s = [], [], [], []
             for t in byte_texts(b):
-                x = shingle_set(t, size)
+                words = t.lower().split()
+                x = shingle_hashes(words, size)
                 n.append(len(x))
-                low, high = np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), ">i8").tolist()
+                low, high = np.frombuffer(hashlib.sha256(b" ".join(words)).digest()[:16], ">i8").tolist()
                 d1.append(low)
                 d2.append(high)
                 s.append(x[:k].astype(np.int64) if len(x) else None)
@@ -73,15 +86,15 @@ def marks(docs: DataFrame, size: int, k: int) -> DataFrame:
 
 
 def rare_values(classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """(v, node, n): for each class the values of its sketch's prefix, its rarest ones, that another class has too."""
+    """(v, node, n, own): for each class the values of its sketch's prefix, its rarest ones, that another class has too; own is how many of its sketch no other has."""
     values = classes.select("node", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     times = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = values.join(times, "v").groupBy("node", "n", "s").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    least = F.greatest(F.lit(1), F.least(F.lit(needed(1 << 40, percent, k)), F.ceil(F.col("n") * percent / 100))).cast("int")
     # values that no other class has are rarer than all others, so they come first in the prefix
-    length = F.greatest(F.lit(0), F.col("s") - least + 1 - (F.col("s") - F.size("vs")))
-    kept = shared.select("node", "n", F.col("vs.v").alias("vs"), F.least(length, F.size("vs")).alias("length")).where("length > 0")
-    return kept.select(F.explode(F.slice("vs", F.lit(1), F.col("length"))).alias("v"), "node", "n")
+    shared = shared.withColumn("own", F.col("s") - F.size("vs"))
+    length = F.greatest(F.lit(0), F.col("s") - least_shared(F.col("n"), percent, k) + 1 - F.col("own"))
+    kept = shared.select("node", "n", "own", F.col("vs.v").alias("vs"), F.least(length, F.size("vs")).alias("length")).where("length > 0")
+    return kept.select(F.explode(F.slice("vs", F.lit(1), F.col("length"))).alias("v"), "node", "n", "own")
 
 
 def sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -94,7 +107,8 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFr
     t = percent / 100
     one = classes.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
     two = classes.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
-    both = pairs.join(two, "b").join(one, "a")
+    # a hub stands in as many pairs as its group has members
+    both = join_hot(pairs.join(two, "b"), one, "a", hot_keys(pairs, "a"))
     # the hash order is that of unsigned integers, so the sign bit is turned before sorting
     def turned(c):
         return F.transform(c, lambda v: v.bitwiseXOR(F.lit(-(1 << 63))))
@@ -114,7 +128,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     """
     pairs = saved(pairs.distinct())
     shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_SHARE).cast("int").alias("shares"))
-    members = pairs.join(shares, "a").select(F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.hash("b"), F.col("shares")).alias("share"), F.lit(1).alias("role"))
+    members = join_hot(pairs, shares, "a", hot_keys(pairs, "a")).select(F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.hash("b"), F.col("shares")).alias("share"), F.lit(1).alias("role"))
     hubs = shares.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"))
     asked = saved(members.union(hubs))
     texts = some_texts(docs, asked).join(asked, "node").select("hub", "share", "role", "node", "text")
@@ -149,17 +163,35 @@ def some_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.withColumn("bucket", bucket(F.col("node"))).join(F.broadcast(mask), "bucket").where(may_contain(F.col("node"), F.col("mask"))).select("node", "text")
 
 
-def across(entries: DataFrame, labels: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents that a list holds, that are in different components so far and that may be alike enough.
+def contested(entries: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
+    """(node, label) of the documents that may have a link to another component, ``labels`` being the components so far.
 
-    The documents of lists with several components are compared by an exact prefix filter over their whole sets: in
-    the order from rare to frequent two such sets share a value early enough in both that what is left after it still
-    makes up the intersection that their sizes ask for. A copy too far from its group's other members has that many
-    values of its own before all shared ones, so it meets none of them, and a list gives few pairs.
+    Both ends of such a link stand in some list with two components, and share so many sketch values; so each has that
+    many values that documents of another component have too, whichever they are. What has fewer goes, which leaves
+    others with fewer: three rounds.
     """
     own = saved(entries.select("v", "node").join(labels, "node", "left").select("v", "node", F.coalesce("label", "node").alias("label")))
     mixed = own.groupBy("v").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 != l2").select("v")
-    nodes = saved(own.join(mixed, "v").select("node", "label").distinct())
+    nodes = saved(join_hot(own, mixed, "v", hot_keys(own, "v")).select("node", "label").distinct())
+    sketches = saved(classes.join(nodes, "node").select("node", "label", least_shared(F.col("n"), percent, k).alias("least"), F.explode("sketch").alias("v")))
+    for _ in range(3):
+        mixed = sketches.groupBy("v").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 != l2").select("v")
+        both = join_hot(sketches, mixed, "v", hot_keys(sketches, "v"))
+        stay = both.groupBy("node", "least").agg(F.count(F.lit(1)).alias("c")).where("c >= least").select("node")
+        last, sketches = sketches, saved(both.join(stay, "node").select("node", "label", "least", "v"))
+        forget(last)
+    forget(own, nodes)
+    return saved(sketches.select("node", "label").distinct())
+
+
+def across(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, label) with different labels that may be alike enough.
+
+    An exact prefix filter over their whole sets: in the order from rare to frequent two such sets share a value early
+    enough in both that what is left after it still makes up the intersection that their sizes ask for. A copy too far
+    from its group's other members has that many values of its own before all shared ones, so it meets none of them,
+    and a list gives few pairs.
+    """
 
     def whole(batches):
         for b in batches:
@@ -187,31 +219,38 @@ def across(entries: DataFrame, labels: DataFrame, docs: DataFrame, size: int, pe
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> DataFrame:
+def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K, sure: bool = False) -> DataFrame:
     """For each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked where 100 times the shared shingles are at least ``percent`` times those of both;
     component_id is the smallest id that links lead to, the own one included, and the document with that id is kept.
     Null and empty texts, and texts without words, have no shingles and no links. Rows that share an id are one
     document: linked, and all kept if it is. A row without an id is in no component and is kept. Other columns aren't
-    read; an empty table gives no rows.
+    read; an empty table gives no rows. ``sure``: no link is left to the sketches' chance, at the cost of a shuffle of
+    all sets.
     """
     base = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     rows = saved(marks(base, size, k))
     named = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = saved(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    entries = saved(rare_values(classes, percent, k))
-    first = entries.groupBy("v").agg(F.min(F.struct("node", "n")).alias("p"))
-    star = entries.join(first, "v").where((F.col("node") != F.col("p.node")) & sizes_fit(F.col("n"), F.col("p.n"), percent)).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
     texts = base.select(F.col("doc_id").alias("node"), "text").where("node IS NOT NULL")
-    star = saved(star)
+    entries = saved(rare_values(classes, percent, k))
+    hubs = entries.groupBy("v").agg(F.min(F.struct("own", "node", "n")).alias("p"))
+    star = join_hot(entries, hubs, "v", hot_keys(entries, "v")).where((F.col("node") != F.col("p.node")) & sizes_fit(F.col("n"), F.col("p.n"), percent))
+    star = saved(star.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct())
     links = verified(likely(star, classes, percent, k), texts, size, percent)
-    again = across(entries, components(links), texts, size, percent).join(star, ["a", "b"], "left_anti")
-    links = links.union(verified(likely(again, classes, percent, k), texts, size, percent))
+    labels = components(links)
+    if sure:
+        again = across(classes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")).distinct(), texts, size, percent)
+        links = links.union(verified(again, texts, size, percent))
+    else:
+        again = across(contested(entries, labels, classes, percent, k), texts, size, percent).join(star, ["a", "b"], "left_anti")
+        links = links.union(verified(likely(again, classes, percent, k), texts, size, percent))
     # classes whose first document has one id are one document
     links = links.union(classes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("node").alias("a"), F.col("node").alias("b")))
     labels = components(links)
     of = saved(classes.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("component_id")))
+    forget(entries, star, classes)
     out = rows.select("doc_id", "n", "d1", "d2").join(of, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
