@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, pick, read, saved
@@ -27,8 +27,8 @@ from .common import map_arrow, pick, read, saved
 CAPACITY = 2048
 #: Fillings of one largest length that are tried, looked at on the way to them, and turns back to one not tried yet; beyond the last the best solution so far stands. The way down after a turn is never cut short.
 WIDTH, LOOKED, NODES = 4, 400, 2_000
-#: Distinct words remembered in a worker, at most.
-REMEMBERED = 600_000
+#: Bytes of words and ids that a task remembers, about.
+REMEMBERED = 24 << 20
 
 
 # --- tokens -------------------------------------------------------------------------------------------------------
@@ -48,47 +48,63 @@ def byte_chars() -> dict[int, str]:
 
 
 class Words:
-    """Token ids of whole texts, found word by word: no token of this vocabulary crosses ASCII white space, so each distinct word is encoded once."""
+    """Token ids of whole texts, found word by word: no token of this vocabulary crosses ASCII white space, so each distinct word is encoded once.
+
+    A special token's literal may swallow the white space beside it, so a text that holds one is given to the tokenizer
+    whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
+        self.specials = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.chars = byte_chars()
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        self.chars = byte_chars()
+        self.held = 0
+
+    def keep(self, key: bytes | str, ids: bytes) -> bytes:
+        """Remembers an entry, some 150 bytes beside its own; all are forgotten when they are too many."""
+        self.held += 150 + len(key) + len(ids)
+        if self.held > REMEMBERED:
+            self.forget()
+            self.held = 150 + len(key) + len(ids)
+        table = self.known if isinstance(key, bytes) else self.parts
+        table[key] = ids
+        return ids
 
     def part(self, p: str) -> bytes:
         got = self.parts.get(p)
         if got is None:
             q = p if p.isascii() else "".join(self.chars[b] for b in p.encode())
-            got = np.array([t.id for t in self.model.tokenize(q)], "<u4").tobytes()
-            if len(self.parts) < REMEMBERED:
-                self.parts[p] = got
+            got = self.keep(p, np.array([t.id for t in self.model.tokenize(q)], "<u4").tobytes())
         return got
 
+    def asked(self, s: str) -> bytes:
+        return np.array(self.whole.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+
     def word(self, w: bytes) -> bytes:
         s = w.decode()
-        if PRINTABLE.fullmatch(s):
-            got = b"".join(map(self.part, SPLIT.findall(s.lower())))
-        else:
-            got = np.array(self.whole.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.known) < REMEMBERED:
-            self.known[w] = got
-        return got
+        return self.keep(w, b"".join(map(self.part, SPLIT.findall(s.lower()))) if PRINTABLE.fullmatch(s) else self.asked(s))
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        get, out = self.known.get, []
+        if any(x in text for x in self.specials):
+            return self.asked(text.decode())
+        out = []
         for w in text.split():
-            out.append(get(w) or self.word(w))
+            out.append(self.known.get(w) or self.word(w))
         return b"".join(out)
 
 
 @functools.lru_cache(1)
 def words(path: str) -> Words:
+    """One for each worker; its memory of words ends with a task."""
     return Words(path)
 
 
@@ -108,13 +124,36 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether filling ``a`` is no better than ``b``: each of a's pieces fits, one for one, within a piece of b of at least its size."""
-    return len(a) <= len(b) and all(x <= y for x, y in zip(a, b)) and a != b
+def dominates(a: tuple[int, ...], b: tuple[int, ...], steps: int = 200) -> bool:
+    """Whether filling ``a`` is no worse than ``b``, both descending (Martello and Toth): b's pieces can be parted into groups that fit within a piece of a each. After so many steps without an answer b counts as not dominated, which loses nothing."""
+    if sum(b) > sum(a) or b[:1] > a[:1]:
+        return False
+    rooms, left = list(a), steps
+
+    def place(i: int) -> bool:
+        nonlocal left
+        if i == len(b):
+            return True
+        for j, room in enumerate(rooms):
+            if room >= b[i] and room not in rooms[:j] and left > 0:
+                left -= 1
+                rooms[j] -= b[i]
+                if place(i + 1):
+                    return True
+                rooms[j] += b[i]
+        return False
+
+    return place(0)
 
 
 def fillings(room: int, counts: dict[int, int], lengths: list[int]) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` from the lengths left (ascending), by waste and then by fewer, larger pieces; WIDTH of them."""
+    """Undominated fillings of ``room`` from the lengths left (ascending), by waste and then by fewer, larger pieces; WIDTH of them.
+
+    A piece that fills the room alone dominates all else. Otherwise pairs that leave nothing and the fillings of a
+    search of LOOKED steps are compared; were there WIDTH such pairs, the search could add none that comes before them.
+    """
+    if counts.get(room, 0):
+        return [(room,)]
     out: list[tuple[int, tuple[int, ...]]] = []
     looked = 0
     smallest = lengths[0] if lengths else room + 1
@@ -160,15 +199,15 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int]) -> list[tupl
     # pairs that leave nothing are looked for first: for each larger piece the one that completes it
     for x in reversed(lengths[: bisect.bisect_right(lengths, room)]):
         y = room - x
-        if y == 0 or y <= x and counts.get(y, 0) > (y == x):
-            out.append((0, (x, y) if y else (x,)))
+        if 0 < y <= x and counts.get(y, 0) > (y == x):
+            out.append((0, (x, y)))
             if len(out) >= WIDTH:
                 break
-    if not any(w == 0 for w, _ in out):
+    if len(out) < WIDTH:
         search(room, room, ())
     kept: list[tuple[int, tuple[int, ...]]] = []
     for w, f in sorted(set(out), key=lambda o: (o[0], len(o[1]), [-x for x in o[1]])):
-        if not any(dominated(f, g) for _, g in kept):
+        if not any(dominates(g, f) for _, g in kept):
             kept.append((w, f))
         if len(kept) == WIDTH:
             break
@@ -277,6 +316,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0) -
 
     def run(batches):
         coder, task, seen = words(path), TaskContext.get().partitionId(), {}
+        try:
+            yield from cut(batches, coder, task, seen)
+        finally:
+            coder.forget()
+
+    def cut(batches, coder, task, seen):
         for b in batches:
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
@@ -305,12 +350,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     where = slots(plan(counts, capacity))
     shared = docs.sparkSession.sparkContext.broadcast({x: g.to_numpy().T.copy() for x, g in where.groupby("length")})
 
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("task")
-        return pdf.assign(first=pdf["n"].cumsum() - pdf["n"]).drop(columns="n")
-
     # where each task's pieces of a length begin among all of that length; a length has a row a task
-    first = per_task.groupBy("length").applyInPandas(number, "length long, task int, first long")
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    first = per_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("first"))
 
     def place(batches):
         for b in batches:
