@@ -1,10 +1,13 @@
 """Substring dedup: words covered by a window of so many words whose sequence also starts anywhere else go.
 
-First pass: each window's minimizer, the smallest hash of its short word runs, is counted in a count-min sketch, once
-for each place it stands at. Equal windows have equal minimizers at different places, so the merged sketches of all
-partitions never underestimate: a window whose minimizer is counted once occurs once. Second pass: the windows left,
-and only they, are grouped exactly by a 128-bit hash of their words. Within a task repeats are settled at once, so a
-passage in a third of all documents sends one entry a task to its group, not one a document.
+First pass: a count-min sketch with counters that stop at two. A window is counted by its minimizer, the smallest hash
+of its short word runs, once for each place the minimizer stands at, which takes some fourteenth of the counts that
+windows would. Equal windows have equal minimizers at different places, so the merged sketches of all partitions never
+underestimate a window's count: one whose estimate is one occurs once. Second pass: the windows left, and only they,
+are grouped exactly, dealt out by their own hash. Two windows are equal if two independent 64-bit polynomial hashes of
+their words' hashes are: 128 bits, by which two different ones among 10^12 meet with a chance of some 10^-15. Within a
+task repeats are settled at once, so a passage in a third of all documents sends one entry a task to its group, not one
+a document.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, mix, numbered, pick, read, width
+from .common import map_arrow, mix, numbered, pick, read, saved, width
+from .exact_dedup import Filter
 
 WINDOW = 35
 #: Words of the runs that minimizers are chosen from.
@@ -118,16 +122,16 @@ def cells(minimizers: np.ndarray, row: int, bits: int) -> np.ndarray:
         return mix(minimizers + np.uint64(row + 1) * ODD[0]) >> np.uint64(64 - bits)
 
 
-def sketch(docs: DataFrame, size: int, bits: int) -> list[bytearray]:
-    """For each row of the sketch a bit a cell: whether all partitions together counted it more than once."""
+def sketch(docs: DataFrame, size: int, bits: int) -> tuple[list[bytearray], int]:
+    """For each row of the sketch a bit a cell: whether all partitions together counted it more than once; and the number of words."""
     cut = min(SLICE_BITS, bits)
 
     def count(batches):
-        powers, held, n = Powers(), [], 0
+        powers, held, n, words = Powers(), [], 0, 0
 
         def flush():
-            out = []
-            got = np.concatenate(held)
+            out = [(-1, 0, np.array([words], "<i8").tobytes())]
+            got = np.concatenate(held) if held else np.zeros(0, np.uint64)
             for row in (0, 1):
                 cell, times = np.unique(cells(got, row, bits), return_counts=True)
                 coded = ((cell & np.uint64((1 << cut) - 1)) << np.uint64(1)).astype(np.uint32) | (times > 1)
@@ -139,21 +143,26 @@ def sketch(docs: DataFrame, size: int, bits: int) -> list[bytearray]:
         for b in batches:
             for _, lists in chunks([x or b"" for x in b.column(0).cast(pa.binary()).to_pylist()]):
                 w = Windows(lists, size, powers)
+                words += w.n
                 if len(w.at):
                     new = np.append(True, w.place[1:] != w.place[:-1])  # places ascend, so each counts once
                     held.append(w.minimizer[new])
                     n += int(new.sum())
                 if n > ANCHORS_HELD:
                     yield flush()
-                    held, n = [], 0
-        if n:
+                    held, n, words = [], 0, 0
+        if words:
             yield flush()
 
     def merge(batches):
         """One slice after the other: what has been seen, and what more than once."""
         key = once = twice = None
+        words = 0
         for b in batches:
             for row, s, packed in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if row < 0:
+                    words += int(np.frombuffer(packed, "<i8")[0])
+                    continue
                 if key != (row, s):
                     if key is not None:
                         yield done(key, twice)
@@ -164,18 +173,26 @@ def sketch(docs: DataFrame, size: int, bits: int) -> list[bytearray]:
                 once[at] = True
         if key is not None:
             yield done(key, twice)
+        if words:
+            yield made(-1, 0, np.array([words], "<i8").tobytes())
 
     def done(key, twice):
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], ["row", "slice", "bits"])
+        return made(*key, np.packbits(twice).tobytes())
+
+    def made(row: int, s: int, packed: bytes):
+        return pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([s], pa.int32()), pa.array([packed], pa.binary())], ["row", "slice", "bits"])
 
     parts = map_arrow(docs.select("text"), count, "row int, slice int, cells binary")
     n = width(docs.sparkSession)
     merged = map_arrow(parts.repartition(n, "row", "slice").sortWithinPartitions("row", "slice"), merge, "row int, slice int, bits binary")
     out = [bytearray((1 << bits) // 8) for _ in (0, 1)]
-    step = (1 << cut) // 8
+    step, words = (1 << cut) // 8, 0
     for r in merged.toLocalIterator():  # 2^MOST_BITS bits a row of the sketch at most
+        if r["row"] < 0:
+            words += int(np.frombuffer(r["bits"], "<i8")[0])
+            continue
         out[r["row"]][r["slice"] * step : (r["slice"] + 1) * step] = r["bits"]
-    return out
+    return out, words
 
 
 def as_runs(ref: np.ndarray, pos: np.ndarray) -> list[tuple[int, bytes]]:
@@ -248,7 +265,7 @@ def repeated(docs: DataFrame, size: int, bits: int, buckets: int, filled: list[b
                 e = np.zeros(len(which), ENTRY)
                 e["h1"], e["h2"] = w.hashes(which)
                 e["pos"], e["ref"] = w.start[which], w.text[which] + first
-                held.append((e, (mix(w.minimizer[which]) % np.uint64(buckets)).astype(np.int64)))
+                held.append((e, (mix(e["h1"]) % np.uint64(buckets)).astype(np.int64)))
                 n += len(which)
                 if n > WINDOWS_HELD:
                     yield flush(held, keys)
@@ -300,13 +317,16 @@ def with_runs(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     own, (id_at, text_at) = numbered(docs, "doc_id", "text")
     base = own.withColumn("text", F.col(f"c{text_at}")).withColumn("key", F.coalesce(F.col(f"c{id_at}").cast("long"), F.lit(-(1 << 63)))).withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
     size_of = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    words = size_of // 5
-    places = max(2 * words // (size - min(RUN, size) + 2), 1)
+    places = max(2 * (size_of // 5) // (size - min(RUN, size) + 2), 1)
     bits = min(MOST_BITS, max(LEAST_BITS, int(4 * places).bit_length()))
-    filled = sketch(base, size, bits)
+    filled, words = sketch(base, size, bits)
     found = repeated(base, size, bits, max(1, -(-words // BUCKET)) * 4, filled)
-    runs = found.groupBy("key", "mark").agg(F.collect_list("runs").alias("runs"))
-    return base.join(runs, ["key", "mark"], "left").select(*own.columns, "text", "runs")
+    runs = saved(found.groupBy("key", "mark").agg(F.collect_list("runs").alias("runs")))
+    # texts without repeats aren't shuffled, but for the few that a filter lets pass
+    over = Filter(runs.count())
+    marked = over.passing(base, "mark", over.table(runs, "mark"))
+    few = marked.where("maybe").join(runs, ["key", "mark"], "left").select(*own.columns, "text", "runs")
+    return marked.where("NOT maybe").select(*own.columns, "text", F.lit(None).cast("array<binary>").alias("runs")).union(few)
 
 
 def removals(docs: DataFrame, size: int = WINDOW) -> DataFrame:
