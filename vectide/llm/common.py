@@ -39,10 +39,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it names none, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it names none a temporary one serves a local master, as in tests; on a cluster that is an error, as its machines share no such folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vectide-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vectide-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -90,11 +93,11 @@ def hot_keys(rows: DataFrame, key: str) -> list:
     return [r[0] for r in rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") * HOT > total) & F.col(key).isNotNull()).select(key).collect()]
 
 
-def join_hot(rows: DataFrame, one: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``one``, which has one row a key. The rows of hot keys stay where they are and the keys' rows of ``one``, fewer than HOT, go to them; the others are dealt out by key."""
+def join_hot(rows: DataFrame, one: DataFrame, key: str | list[str], hot: list, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one``, which has one row a key, ``hot`` being values of the (first) key. Hot rows stay where they are and the keys' rows of ``one``, fewer than HOT, go to them; the others are dealt out by key."""
     if not hot:
         return rows.join(one, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    is_hot = F.coalesce(F.col(key if isinstance(key, str) else key[0]).isin(hot), F.lit(False))
     return rows.where(is_hot).join(F.broadcast(one.where(is_hot)), key, how).unionByName(rows.where(~is_hot).join(one.where(~is_hot), key, how))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, forget, hashes, hot_keys, join_hot, map_arrow, mix, pick, read, saved, width
 from .components import components
-from .exact_dedup import bucket, may_contain, run_filter, without
+from .exact_dedup import Filter, without
 
 #: Values of a sketch; standard deviations of slack; texts compared with one hub by one task.
 K, SIGMAS, HUB_SHARE = 64, 6.0, 64
@@ -158,25 +158,27 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
 
 
 def some_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (node, text) whose node is among ``nodes``, and the few others that a filter of fixed size lets pass: most texts are left before anything is shuffled."""
-    mask = run_filter(nodes.select(F.col("node").alias("digest")).distinct()).withColumnRenamed("bits", "mask")
-    return docs.withColumn("bucket", bucket(F.col("node"))).join(F.broadcast(mask), "bucket").where(may_contain(F.col("node"), F.col("mask"))).select("node", "text")
+    """The rows of ``docs`` (node, text) whose node is among ``nodes``, and the few others that a filter lets pass: most texts are left before anything is shuffled."""
+    names = nodes.select("node").distinct()
+    over = Filter(names.count())
+    return over.passing(docs, "node", over.table(names, "node")).where("maybe").select("node", "text")
 
 
-def contested(entries: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """(node, label) of the documents that may have a link to another component, ``labels`` being the components so far.
+def contested(entries: DataFrame, hot: list, labels: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
+    """(node, label) of the documents that may have a link to another component, ``labels`` being the components so far, ``hot`` the hot values of ``entries``.
 
     Both ends of such a link stand in some list with two components, and share so many sketch values; so each has that
     many values that documents of another component have too, whichever they are. What has fewer goes, which leaves
-    others with fewer: three rounds.
+    others with fewer: two rounds.
     """
     own = saved(entries.select("v", "node").join(labels, "node", "left").select("v", "node", F.coalesce("label", "node").alias("label")))
     mixed = own.groupBy("v").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 != l2").select("v")
-    nodes = saved(join_hot(own, mixed, "v", hot_keys(own, "v")).select("node", "label").distinct())
+    nodes = saved(join_hot(own, mixed, "v", hot).select("node", "label").distinct())
     sketches = saved(classes.join(nodes, "node").select("node", "label", least_shared(F.col("n"), percent, k).alias("least"), F.explode("sketch").alias("v")))
-    for _ in range(3):
+    hot = hot_keys(sketches, "v")
+    for _ in range(2):
         mixed = sketches.groupBy("v").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 != l2").select("v")
-        both = join_hot(sketches, mixed, "v", hot_keys(sketches, "v"))
+        both = join_hot(sketches, mixed, "v", hot)
         stay = both.groupBy("node", "least").agg(F.count(F.lit(1)).alias("c")).where("c >= least").select("node")
         last, sketches = sketches, saved(both.join(stay, "node").select("node", "label", "least", "v"))
         forget(last)
@@ -236,7 +238,8 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K, s
     texts = base.select(F.col("doc_id").alias("node"), "text").where("node IS NOT NULL")
     entries = saved(rare_values(classes, percent, k))
     hubs = entries.groupBy("v").agg(F.min(F.struct("own", "node", "n")).alias("p"))
-    star = join_hot(entries, hubs, "v", hot_keys(entries, "v")).where((F.col("node") != F.col("p.node")) & sizes_fit(F.col("n"), F.col("p.n"), percent))
+    hot = hot_keys(entries, "v")
+    star = join_hot(entries, hubs, "v", hot).where((F.col("node") != F.col("p.node")) & sizes_fit(F.col("n"), F.col("p.n"), percent))
     star = saved(star.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct())
     links = verified(likely(star, classes, percent, k), texts, size, percent)
     labels = components(links)
@@ -244,7 +247,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K, s
         again = across(classes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")).distinct(), texts, size, percent)
         links = links.union(verified(again, texts, size, percent))
     else:
-        again = across(contested(entries, labels, classes, percent, k), texts, size, percent).join(star, ["a", "b"], "left_anti")
+        again = across(contested(entries, hot, labels, classes, percent, k), texts, size, percent).join(star, ["a", "b"], "left_anti")
         links = links.union(verified(likely(again, classes, percent, k), texts, size, percent))
     # classes whose first document has one id are one document
     links = links.union(classes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("node").alias("a"), F.col("node").alias("b")))
