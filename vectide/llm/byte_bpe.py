@@ -19,8 +19,8 @@ from .common import map_arrow, pick, read
 
 #: Byte b is the character of this code point plus b: no letter of these is white space or means anything to sentencepiece.
 FIRST = 0x100
-#: Distinct pre-tokens remembered in a worker, at most.
-REMEMBERED = 400_000
+#: Bytes of pre-tokens and their ids that a task remembers, at most; longer pre-tokens than this many characters aren't remembered.
+REMEMBERED, LONG = 64 << 20, 64
 
 
 def _field(number: int, value: bytes | int | float) -> bytes:
@@ -67,27 +67,35 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.tokens))
         self.find = regex.compile(pattern).findall
         self.map = {i: FIRST + i for i in range(256)}
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers. Each match of the pattern is encoded separately; one that is a token as a whole is that token."""
         words = self.find(text)
         known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            raw = [w.encode() for w in new]
-            rest = [i for i, r in enumerate(raw) if r not in self.ids]
-            for i, r in enumerate(raw):
-                if r in self.ids:
-                    known[new[i]] = self.ids[r]
-            if rest:
-                coded = self.model.encode([raw[i].decode("latin-1").translate(self.map) for i in rest], out_type=int, num_threads=1)
-                for i, ids in zip(rest, coded):
-                    known[new[i]] = np.array(ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        now: dict[str, bytes] = {}  # this text's own: new words
+        rest = []
+        for w in dict.fromkeys(words):
+            if w not in known:
+                raw = w.encode()
+                now[w] = self.ids.get(raw, b"")
+                if not now[w]:
+                    rest.append((w, raw))
+        if rest:
+            coded = self.model.encode([raw.decode("latin-1").translate(self.map) for _, raw in rest], out_type=int, num_threads=1)
+            for (w, _), ids in zip(rest, coded):
+                now[w] = np.array(ids, "<u4").tobytes()
+        out = b"".join([known.get(w) or now[w] for w in words])
+        for w, ids in now.items():
+            size = 250 + len(w) + len(ids)
+            if len(w) <= LONG and self.held + size <= REMEMBERED:
+                self.held += size
+                known[w] = ids
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -104,6 +112,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids (binary, little-endian unsigned 32-bit) of each row's whole text; null as empty, which has no ids. Repeated rows are encoded alike; other columns aren't read; an empty table gives no rows."""
     def run(batches):
         c = codec(path, pattern)
+        c.forget()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.encode(t or "") for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
 
@@ -124,6 +133,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: both ways in one pass."""
     def run(batches):
         c = codec(path, pattern)
+        c.forget()
         for b in batches:
             ids = [c.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(

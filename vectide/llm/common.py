@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,10 +49,19 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Rows of a saved table that a partition holds at least, if it has several.
+ROWS_A_PART = 20_000
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept, lineage cut, in the shared folder."""
+    """``df`` computed once and kept, lineage cut, in the shared folder. Small tables come in fewer partitions: what is done with them writes a file a partition. The number of rows is its attribute ``n_rows``."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    seen = Observation()
+    kept = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint()
+    n = seen.get["n"]
+    out = kept.coalesce(max(1, -(-n // ROWS_A_PART)))
+    out.n_rows, out.kept = n, kept
+    return out
 
 
 def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[int]]:
@@ -73,10 +82,20 @@ def give_back() -> None:
         trim(0)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+#: Rows that a function gets at once: of a batch of 10,000 long texts a Python copy is too much.
+ROWS_AT_ONCE = 1_000
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int = ROWS_AT_ONCE) -> DataFrame:
+    """mapInArrow of ``fn``, which gets batches of so many rows at most; what a task held is given back at its end."""
+    def parts(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
+
     def run(batches):
         try:
-            yield from fn(batches)
+            yield from fn(parts(batches))
         finally:
             give_back()
 
@@ -89,7 +108,8 @@ HOT = 1000
 
 def hot_keys(rows: DataFrame, key: str) -> list:
     """The keys that hold more than one in HOT of the rows: fewer than HOT of them, whatever the table."""
-    total = rows.count()
+    total = getattr(rows, "n_rows", None)
+    total = rows.count() if total is None else total
     return [r[0] for r in rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") * HOT > total) & F.col(key).isNotNull()).select(key).collect()]
 
 
@@ -104,7 +124,7 @@ def join_hot(rows: DataFrame, one: DataFrame, key: str | list[str], hot: list, h
 def forget(*tables: DataFrame) -> None:
     """Deletes what saved() wrote for tables that nothing will read again."""
     for df in tables:
-        plan = df._jdf.queryExecution().logical()
+        plan = df.kept._jdf.queryExecution().logical()
         if plan.getClass().getSimpleName() == "LogicalRDD" and plan.rdd().getCheckpointFile().isDefined():
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(plan.rdd().getCheckpointFile().get())
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -69,7 +69,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     base = pick(docs, key, text).select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     base = base.select("id", "t", digests[0](F.col("t")).alias("digest"), digests[1](F.col("t")).alias("second"))
     rows = saved(base.select("id", "digest", "second", F.lower(F.sha2("t", 256)).alias("sha") if digests[0] is not sha256 else F.lit(None).cast("string").alias("sha"), F.pmod(F.spark_partition_id(), F.lit(memtables)).alias("run")))
-    total = rows.count()
+    total = rows.n_rows
     runs = rows.groupBy("run", "digest").agg(best("id").alias("keep"), F.count(F.lit(1)).alias("n")).sortWithinPartitions("run", "digest")
     # which runs may hold a digest: a table of ``memtables`` filters
     held_by = Filter(-(-total // memtables))
@@ -82,7 +82,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     hits = maybe.groupBy("digest").agg(best("keep").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     hits = saved(hits.select("digest", "n"))
     # texts of hits alone are carried on: a filter over the hits lets few others pass, and the bytes decide
-    over = Filter(hits.count())
+    over = Filter(hits.n_rows)
     likely = over.passing(base, "digest", over.table(hits, "digest")).where("maybe")
     texts = likely.groupBy("digest", "second", "t").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     several = F.struct("keep_id", "group_size")
@@ -117,7 +117,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     own, (at, text) = numbered(docs, "doc_id", "text")
     nobody = F.lit(-(1 << 63))
     names = saved(gone.select(F.coalesce("id", nobody).alias("gid"), F.col("second").alias("gsecond")).distinct())
-    over = Filter(names.count())
+    over = Filter(names.n_rows)
     tagged = own.withColumn("gkey", F.coalesce(F.col(f"c{at}").cast("long"), nobody)).withColumn("ghash", F.xxhash64(F.coalesce(F.col(f"c{text}"), F.lit(""))))
     tagged = over.passing(tagged, "gkey", over.table(names, "gid"))
     doubt = tagged.where("maybe").join(names, (F.col("gkey") == F.col("gid")) & (F.col("gsecond").isNull() | (F.col("gsecond") == F.col("ghash"))), "left_anti")

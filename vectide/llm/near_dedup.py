@@ -6,10 +6,12 @@ share so many values (to six standard deviations of the hash's draw, exactly whe
 that, by the prefix principle, they share one among each one's rarest few. Inverted lists of those rare values generate
 candidates; the union's sketch estimates their likeness and filters; the whole sets of whole texts decide.
 
-A list is not expanded into its pairs. First every member is compared with its list's hub, the member with the fewest
-values of its own, which links a group of copies as a star. Then lists whose members are in one component have nothing
-left to say. Of the others only documents stay that share as many sketch values as a link needs with documents of other
-components, all those together; they are compared across components by a prefix filter over their whole sets.
+A list is not expanded into its pairs. First every member is compared with its list's hub, the member whose sketch
+values are the most frequent, which links a group of copies as a star around a central one. Lists whose members are in
+one component then have nothing left to say; in the others members are compared with a few more hubs of other
+components. Of what still is in a list with others' components only documents stay that share as many sketch values as
+a link needs with documents of other components, all those together; they are compared across components by a prefix
+filter over their whole sets.
 
 ``sure=True`` does without the sketches' chance: the exact prefix filter runs over all documents.
 """
@@ -28,8 +30,8 @@ from .common import byte_texts, forget, hashes, hot_keys, join_hot, map_arrow, m
 from .components import components
 from .exact_dedup import Filter, without
 
-#: Values of a sketch; standard deviations of slack; texts compared with one hub by one task.
-K, SIGMAS, HUB_SHARE = 64, 6.0, 64
+#: Values of a sketch; standard deviations of slack; texts compared with one hub by one task; hubs of a list's second round.
+K, SIGMAS, HUB_SHARE, HUBS = 64, 6.0, 64, 4
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -86,15 +88,16 @@ def marks(docs: DataFrame, size: int, k: int) -> DataFrame:
 
 
 def rare_values(classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """(v, node, n, own): for each class the values of its sketch's prefix, its rarest ones, that another class has too; own is how many of its sketch no other has."""
+    """(v, node, n, far): for each class the values of its sketch's prefix, its rarest ones, that another class has too; far is the less the more other classes its sketch's values have."""
     values = classes.select("node", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     times = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = values.join(times, "v").groupBy("node", "n", "s").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     # values that no other class has are rarer than all others, so they come first in the prefix
     shared = shared.withColumn("own", F.col("s") - F.size("vs"))
+    shared = shared.withColumn("far", -F.aggregate("vs", F.lit(0).cast("long"), lambda a, x: a + x["df"]) / F.col("s"))
     length = F.greatest(F.lit(0), F.col("s") - least_shared(F.col("n"), percent, k) + 1 - F.col("own"))
-    kept = shared.select("node", "n", "own", F.col("vs.v").alias("vs"), F.least(length, F.size("vs")).alias("length")).where("length > 0")
-    return kept.select(F.explode(F.slice("vs", F.lit(1), F.col("length"))).alias("v"), "node", "n", "own")
+    kept = shared.select("node", "n", "far", F.col("vs.v").alias("vs"), F.least(length, F.size("vs")).alias("length")).where("length > 0")
+    return kept.select(F.explode(F.slice("vs", F.lit(1), F.col("length"))).alias("v"), "node", "n", "far")
 
 
 def sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -159,11 +162,27 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
 
 def some_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The rows of ``docs`` (node, text) whose node is among ``nodes``, and the few others that a filter lets pass: most texts are left before anything is shuffled."""
-    names = nodes.select("node").distinct()
-    over = Filter(names.count())
+    names = saved(nodes.select("node").distinct())
+    over = Filter(names.n_rows)
     return over.passing(docs, "node", over.table(names, "node")).where("maybe").select("node", "text")
 
 
+def labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """``entries`` with the component of each node, itself where ``labels`` has none."""
+    return entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def more_hubs(entries: DataFrame, hot: list, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a hub and a member of a list, in different components so far. Each list that has several has HUBS hubs, equally central ones in as many orders."""
+    own = saved(labelled(entries, labels))
+    ranks = [F.min(F.struct("far", F.xxhash64("node", F.lit(i)), "node", "n", "label")).alias(f"h{i}") for i in range(HUBS)]
+    hubs = own.groupBy("v").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), *ranks).where("l1 != l2").select("v", F.array_distinct(F.array(*[F.struct(f"h{i}.node", f"h{i}.n", f"h{i}.label") for i in range(HUBS)])).alias("hubs"))
+    both = join_hot(own, hubs, "v", hot).select("node", "n", "label", F.explode("hubs").alias("p"))
+    out = saved(both.where((F.col("label") != F.col("p.label")) & sizes_fit(F.col("n"), F.col("p.n"), percent)).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct())
+    forget(own)
+    return out
+
+
 def contested(entries: DataFrame, hot: list, labels: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
     """(node, label) of the documents that may have a link to another component, ``labels`` being the components so far, ``hot`` the hot values of ``entries``.
 
@@ -171,7 +190,7 @@ def contested(entries: DataFrame, hot: list, labels: DataFrame, classes: DataFra
     many values that documents of another component have too, whichever they are. What has fewer goes, which leaves
     others with fewer: two rounds.
     """
-    own = saved(entries.select("v", "node").join(labels, "node", "left").select("v", "node", F.coalesce("label", "node").alias("label")))
+    own = saved(labelled(entries, labels).select("v", "node", "label"))
     mixed = own.groupBy("v").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 != l2").select("v")
     nodes = saved(join_hot(own, mixed, "v", hot).select("node", "label").distinct())
     sketches = saved(classes.join(nodes, "node").select("node", "label", least_shared(F.col("n"), percent, k).alias("least"), F.explode("sketch").alias("v")))
@@ -237,7 +256,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K, s
     classes = saved(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     texts = base.select(F.col("doc_id").alias("node"), "text").where("node IS NOT NULL")
     entries = saved(rare_values(classes, percent, k))
-    hubs = entries.groupBy("v").agg(F.min(F.struct("own", "node", "n")).alias("p"))
+    hubs = entries.groupBy("v").agg(F.min(F.struct("far", "node", "n")).alias("p"))
     hot = hot_keys(entries, "v")
     star = join_hot(entries, hubs, "v", hot).where((F.col("node") != F.col("p.node")) & sizes_fit(F.col("n"), F.col("p.n"), percent))
     star = saved(star.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct())
@@ -247,7 +266,11 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K, s
         again = across(classes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")).distinct(), texts, size, percent)
         links = links.union(verified(again, texts, size, percent))
     else:
-        again = across(contested(entries, hot, labels, classes, percent, k), texts, size, percent).join(star, ["a", "b"], "left_anti")
+        stars = more_hubs(entries, hot, labels, percent)
+        links = links.union(verified(likely(stars.join(star, ["a", "b"], "left_anti"), classes, percent, k), texts, size, percent))
+        labels = components(links)
+        tried = star.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        again = across(contested(entries, hot, labels, classes, percent, k), texts, size, percent).join(tried, ["a", "b"], "left_anti")
         links = links.union(verified(likely(again, classes, percent, k), texts, size, percent))
     # classes whose first document has one id are one document
     links = links.union(classes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("node").alias("a"), F.col("node").alias("b")))

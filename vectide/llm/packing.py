@@ -11,7 +11,6 @@ first incumbent; a branch is pruned when its waste makes fewer sequences than th
 from __future__ import annotations
 
 import bisect
-import functools
 import re
 import zlib
 
@@ -27,8 +26,8 @@ from .common import map_arrow, pick, read, saved
 CAPACITY = 2048
 #: Fillings of one largest length that are tried, looked at on the way to them, and turns back to one not tried yet; beyond the last the best solution so far stands. The way down after a turn is never cut short.
 WIDTH, LOOKED, NODES = 4, 400, 2_000
-#: Bytes of words and ids that a task remembers, about.
-REMEMBERED = 24 << 20
+#: Bytes of words and ids that a task remembers, at most.
+REMEMBERED = 80 << 20
 
 
 # --- tokens -------------------------------------------------------------------------------------------------------
@@ -61,28 +60,23 @@ class Words:
         self.model = self.whole.model
         self.specials = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.chars = byte_chars()
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.held = 0
 
-    def keep(self, key: bytes | str, ids: bytes) -> bytes:
-        """Remembers an entry, some 150 bytes beside its own; all are forgotten when they are too many."""
-        self.held += 150 + len(key) + len(ids)
-        if self.held > REMEMBERED:
-            self.forget()
-            self.held = 150 + len(key) + len(ids)
-        table = self.known if isinstance(key, bytes) else self.parts
-        table[key] = ids
+    def keep(self, table: dict, key: bytes | str, ids: bytes) -> bytes:
+        """Remembers an entry, 250 bytes beside its own, while there is room: what is frequent comes early."""
+        size = 250 + len(key) + len(ids)
+        if self.held + size <= REMEMBERED:
+            self.held += size
+            table[key] = ids
         return ids
 
     def part(self, p: str) -> bytes:
         got = self.parts.get(p)
         if got is None:
             q = p if p.isascii() else "".join(self.chars[b] for b in p.encode())
-            got = self.keep(p, np.array([t.id for t in self.model.tokenize(q)], "<u4").tobytes())
+            got = self.keep(self.parts, p, np.array([t.id for t in self.model.tokenize(q)], "<u4").tobytes())
         return got
 
     def asked(self, s: str) -> bytes:
@@ -90,7 +84,7 @@ class Words:
 
     def word(self, w: bytes) -> bytes:
         s = w.decode()
-        return self.keep(w, b"".join(map(self.part, SPLIT.findall(s.lower()))) if PRINTABLE.fullmatch(s) else self.asked(s))
+        return self.keep(self.known, w, b"".join(map(self.part, SPLIT.findall(s.lower()))) if PRINTABLE.fullmatch(s) else self.asked(s))
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -102,12 +96,6 @@ class Words:
         return b"".join(out)
 
 
-@functools.lru_cache(1)
-def words(path: str) -> Words:
-    """One for each worker; its memory of words ends with a task."""
-    return Words(path)
-
-
 # --- the plan -----------------------------------------------------------------------------------------------------
 
 
@@ -315,13 +303,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0) -
     last = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        coder, task, seen = words(path), TaskContext.get().partitionId(), {}
-        try:
-            yield from cut(batches, coder, task, seen)
-        finally:
-            coder.forget()
-
-    def cut(batches, coder, task, seen):
+        coder, task, seen = Words(path), TaskContext.get().partitionId(), {}  # a task's own, gone with it
         for b in batches:
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):

@@ -123,7 +123,7 @@ def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> Da
                 good.append(bool(w[p] @ v + w[-1] >= least))
             yield b.filter(pa.array(good, pa.bool_()))
 
-    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
+    return map_arrow(own, run, own.schema).toDF(*docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

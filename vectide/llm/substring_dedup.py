@@ -294,7 +294,7 @@ def repeated(docs: DataFrame, size: int, bits: int, buckets: int, filled: list[b
             out += [(int(every[r, 0]), int(every[r, 1]), runs) for r, runs in as_runs(ref[good], e["pos"][good])]
         return pd.DataFrame(out, columns=["key", "mark", "runs"]).astype({"key": "int64", "mark": "int64"})
 
-    sent = map_arrow(docs.select("key", "mark", "text"), send, "bucket int, entries binary, names binary, runs binary")
+    sent = map_arrow(docs.select("key", "mark", "text"), send, "bucket int, entries binary, names binary, runs binary", rows=1 << 30)  # what one batch holds is settled together
     return sent.groupBy("bucket").applyInPandas(settle, REPLY)
 
 
@@ -323,7 +323,7 @@ def with_runs(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     found = repeated(base, size, bits, max(1, -(-words // BUCKET)) * 4, filled)
     runs = saved(found.groupBy("key", "mark").agg(F.collect_list("runs").alias("runs")))
     # texts without repeats aren't shuffled, but for the few that a filter lets pass
-    over = Filter(runs.count())
+    over = Filter(runs.n_rows)
     marked = over.passing(base, "mark", over.table(runs, "mark"))
     few = marked.where("maybe").join(runs, ["key", "mark"], "left").select(*own.columns, "text", "runs")
     return marked.where("NOT maybe").select(*own.columns, "text", F.lit(None).cast("array<binary>").alias("runs")).union(few)
@@ -366,7 +366,7 @@ def cleaned(docs: DataFrame, size: int = WINDOW) -> DataFrame:
             columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
-    new = out.mapInArrow(run, schema)
+    new = map_arrow(out, run, schema)
     fresh = [F.char_length(f"c{at}").cast(f.dataType).alias(f"c{i}") if f.name.lower() == "n_chars" else F.col(f"c{i}") for i, f in enumerate(docs.schema.fields)]
     return new.select(*fresh).toDF(*docs.columns)
 
