@@ -3,11 +3,15 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
+import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from vectide.llm import byte_bpe, exact_dedup, fingerprints, licenses, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
@@ -121,6 +125,110 @@ def test_near_groups(docs, empty, size, percent):
     assert near_dedup.near_groups(empty).count() == 0
 
 
+def test_near_groups_without_chance(docs):
+    """The exact option against the sketches' way."""
+    for size, percent in ((3, 85), (5, 80)):
+        names = ("doc_id", "n_shingles", "component_id", "kept")
+        same(got(near_dedup.near_groups(docs, size, percent, sure=True), *names), got(near_dedup.near_groups(docs, size, percent), *names))
+
+
+def test_texts_of_one_digest_are_told_apart(spark):
+    df = spark.createDataFrame([(1, "aa"), (2, "bb"), (3, "aa"), (4, "cc"), (5, "d"), (6, "d"), (7, "eee")], "doc_id long, text string")
+    weak = (lambda t: F.lit(b"x"), lambda t: F.char_length(t).cast("long"))
+    names = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    same(got(exact_dedup.exact_groups(df, digests=weak), *names), got(exact_dedup.exact_groups(df), *names))
+
+
+def test_special_tokens_are_the_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, plain_ = packing.Words(path), Tokenizer.from_file(path)
+    for t in ("<|endoftext|>", "a<|endoftext|>b", " <|startoftext|> don't \n<|endoftext|>", "<|endof text|>"):
+        assert np.frombuffer(own.encode(t.encode()), "<u4").tolist() == plain_.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_stays_near_the_bound():
+    for low, high, share in ((300, 1000, 1.03), (500, 1100, 1.09), (30, 700, 1.0)):
+        r = random.Random(low)
+        counts = collections.Counter(r.randint(low, high) for _ in range(400))
+        found = packing.plan(counts)
+        assert collections.Counter(x for lengths, n in found for x in lengths for _ in range(n)) == counts
+        used = sum(n for _, n in found)
+        assert used <= sum(n for _, n in packing.best_fit(counts, 2048)) and used <= share * packing.lower_bound(counts, 2048) + 1
+
+
+def test_licenses_are_the_plain_ones_and_linear(spark):
+    """Base places by a loop over words; every notice of a text with several; time in proportion to the text."""
+    r = random.Random(4)
+    words = "gnu general public license apache cc by mit the x".split()
+    for _ in range(300):
+        t = " ".join(r.choice(words) for _ in range(r.randint(0, 60))) + r.choice(["", "!", "É"])
+        out = licenses.scan_text(t.encode(), licenses.PHRASES, tuple(licenses.NOTICES.items()))
+        w = regex.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+        places = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        assert (out["n_words"], out["n_base"]) == (len(w), len(places))
+        assert (out["first_word"], out["last_word"]) == (min((i for i, _ in places), default=None), max((i for i, _ in places), default=None))
+        assert out["base_labels"] == ",".join(sorted({label for _, label in places}))
+    notices = tuple(licenses.NOTICES.items())
+    for gap in ("", "lorem ipsum dolor sit amet "):
+        planted = [f"released under the mit {x} {gap}" for x in ("licence", "license", "licens", "license")]
+        spans = licenses.scan_text("".join(planted).encode(), licenses.PHRASES, notices)["spans"]
+        assert [s["first_word"] for s in spans] == [i * (5 + len(gap.split())) for i in range(4)] and all(s["label"] == "mit" for s in spans)
+    took = []
+    for n in (4_000, 16_000):
+        began = time.process_time()
+        assert len(licenses.scan_text(b"all rights reserved " * n, licenses.PHRASES, notices)["spans"]) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def test_segments_are_linear():
+    x = np.random.default_rng(1).normal(-0.3, 1, 800_000).astype(np.float32)
+    took = []
+    for n in (100_000, 800_000):
+        began = time.process_time()
+        toxicity.segments(x[:n])
+        took.append(time.process_time() - began)
+    assert took[1] < 16 * took[0] + 0.5
+
+
+def test_quality_scores_are_the_plain_ones(spark):
+    """FTRL-proximal and the dot product against dictionaries."""
+    texts = [("good words stand here in order", 1), ("!!! ### 111 !!! ###", 0), ("more good words in order", 1), ("### !!! 222", 0), ("", 0)]
+    examples = [(*quality.features(t.encode()), y) for t, y in texts]
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= quality.L1 else -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for places, values, y in examples:
+            x = dict(zip(places.tolist(), values.tolist())) | {1 << quality.BITS: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w[i]
+                n[i] += g * g
+    weights = quality.fit(examples)
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    out = {r["doc_id"]: r["score"] for r in quality.score(df, weights).collect()}
+    for i, (places, values, _) in enumerate(examples):
+        s = sum(weight(j) * v for j, v in zip(places.tolist(), values.tolist())) + weight(1 << quality.BITS)
+        assert math.isclose(out[i], 1 / (1 + math.exp(-s)), abs_tol=1e-9)
+
+
+def test_one_id_with_two_texts_is_learnt_alike(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int").withColumn("toxic", F.col("quality"))
+    rows_ = [(i, f"{w} text number {i} of {w}") for i in range(30) for w in ("one", "other")]
+    first = spark.createDataFrame(rows_, "doc_id long, text string").repartition(5, "text")
+    second = spark.createDataFrame(rows_[::-1], "doc_id long, text string").repartition(3)
+    assert np.array_equal(quality.learn(first, labels), quality.learn(second, labels))
+    assert np.array_equal(toxicity.learn(first, labels)["scores"], toxicity.learn(second, labels)["scores"])
+
+
 def test_near_groups_of_mixed_lists(spark):
     """Copies near each other but not near their list's first: the second pass joins components, and nothing is lost."""
     r = random.Random(1)
@@ -438,13 +546,56 @@ def test_url_filter(spark):
     assert [out[i]["verdict"] for i in range(7)] == ["block", "allow", "block", "allow", "block", "allow", "block"]
     assert [(out[i]["host"], out[i]["path"]) for i in (0, 8, 9, 10, 11, 14)] == [("a.b.com", "/en/1"), ("", ""), ("", ""), ("", ""), ("h", ""), ("u:80", "/ü ü")]
     assert (out[12]["verdict"], out[13]["verdict"]) == ("block", "allow")
-    many = [*url_filter.RULES, *[(True, f"h{i}.test/p") for i in range(url_filter.MAX_INLINE)]]
+    many = [*url_filter.RULES, *[(True, f"h{i}.test/p") for i in range(100)]]
     again = {r["page_id"]: r for r in url_filter.judge(pages, many, weights).collect()}
     assert again == out
+    # of rules of one length the first of the list wins, however many there are
+    tie = spark.createDataFrame([(1, "http://a.b.com/xy/1")], "page_id long, url string")
+    for more in (0, 100):
+        others = [(True, f"h{i}.test/p") for i in range(more)]
+        for rules in ([(True, "b.com/xy"), (False, "a.b.com/")], [(False, "a.b.com/"), (True, "b.com/xy")]):
+            assert url_filter.judge(tie, [*others, *rules], weights).first()["rule"] == rules[0][1]
+    assert url_filter.judge(tie, [], weights).first()["rule"] is None
     assert url_filter.judge(pages.limit(0), url_filter.RULES, weights).count() == 0
     assert set(url_filter.train(url_filter.seeds(spark).limit(0)) or [0.0]) == {0.0}
 
 
+def test_url_model_knows_words_it_learnt_in_other_urls(spark):
+    """Every word is learnt from three of its urls and judged in the fourth."""
+    for i in range(4):
+        rows_ = [(u, y) for k, (y, u) in enumerate(url_filter.SEEDS)]
+        learnt = [r for k, r in enumerate(rows_) if k % 4 != i]
+        weights = url_filter.train(spark.createDataFrame(learnt, "url string, label int"))
+        asked = spark.createDataFrame([(k, u, y) for k, (u, y) in enumerate(rows_) if k % 4 == i], "page_id long, url string, y int")
+        out = {r["page_id"]: r["verdict"] == "block" for r in url_filter.judge(asked, [], weights).collect()}
+        right = sum(out[r["page_id"]] == bool(r["y"]) for r in asked.collect())
+        assert right >= 0.95 * len(out)
+
+
+def test_url_verdicts_are_the_plain_ones(spark):
+    """Every url of the smallest table against a loop in Python: host, path, the longest rule, and the model's sum."""
+    weights = url_filter.train(url_filter.seeds(spark))
+    rows_ = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url").collect()
+    out = {r["page_id"]: r for r in url_filter.op5_url_filter(spark, "/root/testdata/sf0.001").collect()}
+    assert len(out) == len(rows_)
+    for r in rows_:
+        url = r["url"] or ""
+        rest = url.partition("://")[2] if "://" in url else ""
+        m = re.match(r"([^/?#]*)([^?#]*)", rest)
+        host, path = "".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]), m[2]
+        best = None
+        for block, rule in url_filter.RULES:
+            h, _, p = rule.partition("/")
+            if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[1])):
+                best = (block, rule)
+        f = [zlib.crc32(f"{tag}{n}{x[i:i + n]}".encode()) % (len(weights) - 1) for tag, t in (("h", host), ("p", path)) for x in [f"^{t}$"] for n in (3, 4) for i in range(max(len(x) - n + 1, 1))]
+        z = sum(weights[i] for i in f) / len(f) ** 0.5 + weights[-1]
+        got_ = out[r["page_id"]]
+        assert (got_["host"], got_["path"], got_["rule"]) == (host, path, best and best[1])
+        assert math.isclose(got_["probability"], 1 / (1 + math.exp(-z)), abs_tol=1e-9)
+        assert got_["verdict"] == ("block" if (best[0] if best else got_["probability"] >= 0.5) else "allow")
+
+
 def test_url_model_is_the_plain_one(spark):
     """The folded training against a loop in Python."""
     rows_ = [(u, y) for y, u in url_filter.SEEDS[:6] + url_filter.SEEDS[-6:]]

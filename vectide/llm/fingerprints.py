@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, pick, read, saved, width
+from .common import HOT, join_hot, map_arrow, pick, read, saved, width
 
 #: Bits of a fingerprint, and the weights of a word and of a pair of consecutive words.
 BITS, WORD_WEIGHT, PAIR_WEIGHT = 128, 1, 2
@@ -192,7 +192,8 @@ def near_counts(marked: DataFrame, asked, radius: int) -> DataFrame:
     others = within(queries, sizes, radius).join(sizes.select(F.col("fingerprint").alias("other"), F.col("rows_of").alias("n")), "other")
     more = others.groupBy("fingerprint").agg(F.sum("n").alias("more"))
     counts = sizes.where("is_asked").join(more, "fingerprint", "left").select("fingerprint", (F.col("rows_of") - 1 + F.coalesce("more", F.lit(0))).alias("found"))
-    return marked.join(counts, "fingerprint", "left").select(*marked.columns, F.when(asked, F.col("found")).alias("n_near"))
+    hot = [r[0] for r in sizes.where(F.col("rows_of") * HOT > marked.n_rows).select("fingerprint").collect()]
+    return join_hot(marked, counts, "fingerprint", hot, "left").select(*marked.columns, F.when(asked, F.col("found")).alias("n_near"))
 
 
 #: Bits in which near fingerprints may differ, in the query: measured on near copies, see README; the most that five blocks find.

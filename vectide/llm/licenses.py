@@ -8,6 +8,7 @@ span. Both searches run over the words of the whole text joined by single spaces
 
 from __future__ import annotations
 
+import bisect
 import functools
 
 import ahocorasick
@@ -66,49 +67,60 @@ def machine(notices: tuple[tuple[str, str], ...]):
 
 
 def fuzzy(words: str, notices: tuple[tuple[str, str], ...]) -> list[tuple[str, int, int, int]]:
-    """(label, start, end, edits) of every place in ``words`` that a notice fits within its edits, in order; of overlapping places the closest match."""
+    """(label, start, end, edits) of the places in ``words`` that a notice fits within its edits, in order; of overlapping places the closest match, then the longest, then the first.
+
+    Each seed's own window is searched, a notice's length and its edits on either side, so a text's cost grows with its
+    seeds whatever stands between them.
+    """
     found, patterns, edits = machine(notices)
-    spans: dict[int, list[list[int]]] = {}
+    windows = set()
     for end, (n, places) in found.iter(words):
         for i, at in places:
             start = end + 1 - n - at
-            a, b = max(0, start - edits[i]), start + len(notices[i][0]) + edits[i]
-            own = spans.setdefault(i, [])
-            if own and a <= own[-1][1]:
-                own[-1][1] = max(own[-1][1], b)
-            else:
-                own.append([a, b])
-    out = []
-    for i, own in spans.items():
+            windows.add((i, max(0, start - edits[i]), min(len(words), start + len(notices[i][0]) + edits[i])))
+    out = set()
+    for i, a, b in windows:
         least = len(notices[i][0]) - edits[i]
-        left = [(a, min(b, len(words))) for a, b in own]
+        left = [(a, b)]
         while left:  # a pattern finds the closest match of a part; what stands before and behind it is searched again
             a, b = left.pop()
             m = patterns[i].search(words, a, b) if b - a >= least else None
             if m:
-                out.append((notices[i][1], m.start(), m.end(), sum(m.fuzzy_counts)))
+                out.add((notices[i][1], m.start(), m.end(), sum(m.fuzzy_counts)))
                 left += [(a, m.start()), (m.end(), b)]
-    best: list[tuple[str, int, int, int]] = []
-    for x in sorted(out, key=lambda x: (x[3], x[1] - x[2], x[1], x[0])):  # of overlapping places the one with the fewest edits, then the longest
-        if all(x[2] <= y[1] or y[2] <= x[1] for y in best):
-            best.append(x)
-    return sorted(best, key=lambda x: x[1])
+    best: list[tuple[int, int, str, int]] = []  # in order of starts; none overlap
+    for label, a, b, e in sorted(out, key=lambda x: (x[3], x[1] - x[2], x[1], x[0])):
+        i = bisect.bisect_left(best, (a,))
+        if (i == 0 or best[i - 1][1] <= a) and (i == len(best) or b <= best[i][0]):
+            best.insert(i, (a, b, label, e))
+    return [(label, a, b, e) for a, b, label, e in best]
+
+
+def blanks(codes: np.ndarray) -> np.ndarray:
+    """Places of blanks, in order; how many stand before a place is found among them."""
+    return np.flatnonzero(codes == 32)
 
 
 def scan_text(text: bytes, phrases: dict[str, str], notices: tuple[tuple[str, str], ...]) -> dict:
     words = text.translate(TABLE).split()
     joined = b" " + b" ".join(words) + b" "
-    starts, base = [], set()
+    places, base = [], set()
     for phrase, label in phrases.items():
         p = f" {phrase} ".encode()
         at = joined.find(p)
         while at >= 0:
-            starts.append(joined.count(b" ", 0, at))
+            places.append(at)
             base.add(label)
             at = joined.find(p, at + 1)
+    starts = np.searchsorted(blanks(np.frombuffer(joined, np.uint8)), places).tolist() if places else []
     decoded = joined[1:-1].decode()
     near = fuzzy(decoded, notices)
-    spans = [{"label": n, "first_word": decoded.count(" ", 0, a + 1 if decoded[a : a + 1] == " " else a), "last_word": decoded.count(" ", 0, b), "edits": e} for n, a, b, e in near]
+    spans = []
+    if near:
+        gaps = blanks(np.frombuffer(decoded.encode("utf-32-le"), "<u4"))
+        for n, a, b, e in near:
+            a += decoded[a : a + 1] == " "
+            spans.append({"label": n, "first_word": int(np.searchsorted(gaps, a)), "last_word": int(np.searchsorted(gaps, b)), "edits": e})
     share = [1 - e / max(b - a, 1) for _, a, b, e in near]
     return {
         "n_words": len(words), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None),

@@ -78,7 +78,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
             found = [features(t) for t in byte_texts(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([p.astype("<i4").tobytes() for p, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], ["doc_id", "y", "p", "v"])
 
-    rows = map_arrow(rows, featurise, "doc_id long, y int, p binary, v binary").dropDuplicates(["doc_id"])
+    # of rows that share an id the one with the smallest features, the same in each run
+    rows = map_arrow(rows, featurise, "doc_id long, y int, p binary, v binary").groupBy("doc_id").agg(F.min(F.struct("p", "v", "y")).alias("r")).select("doc_id", "r.*")
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.iloc[np.argsort(mix(pdf["doc_id"].to_numpy(np.int64).astype(np.uint64)), kind="stable")]

@@ -1,11 +1,12 @@
 """Toxicity by maximum-scoring segments.
 
-Each token has the log-odds of toxic against other text, with a Dirichlet prior in proportion to the token's share of
-both, kept where a likelihood ratio finds it significant, less a drift that makes the expected score of ordinary text negative. One linear
-scan of a text finds all its maximal-scoring segments. A segment of score S is significant by extreme-value statistics:
-over n tokens of ordinary text, K n exp(-lambda S) segments of that score are expected, lambda being the solution of
-E[exp(lambda s)] = 1 over ordinary tokens. A document's evidence is the sum of lambda S - log(K n) over its significant
-segments; a logistic curve fitted to the learnt rows makes it a probability.
+Each token has the log-odds of toxic against other text, of either sign, with a Dirichlet prior in proportion to the
+token's share of both, drawn towards 0 by some standard deviations of its own, less a drift that makes the expected
+score of ordinary text negative. One linear scan of a text finds all its maximal-scoring segments. A segment of score S
+is significant by extreme-value statistics: over n tokens of ordinary text, K n exp(-lambda S) segments of that score
+are expected, lambda being the solution of E[exp(lambda s)] = 1 over ordinary tokens and K what the best segments of
+ordinary rows have. A document's evidence is the sum of lambda S - log(K n) over its significant segments; a logistic
+curve fitted to the learnt rows makes it a probability.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from .common import agreed_labels, byte_texts, hashes, held_out, map_arrow, mix,
 
 #: Bits of the hashed vocabulary: one float a place, 4 MB.
 BITS = 20
-#: Rows learnt from, at most; the prior's weight in tokens; what a token's likelihood ratio must exceed beyond the log of the number of tokens tried
-#: (chosen among 6, 3, 0 and -2 by three-fold cross-validation within the rows of sf0.1 that may be learnt from); drift a token.
-MAX_TRAIN, PRIOR, MARGIN, DRIFT = 12_000, 2_000.0, -2.0, 0.05
+#: Rows learnt from, at most; the prior's weight as a share of all that is counted; standard deviations that a token's
+#: log-odds lose; drift a token. The last three were chosen by three-fold cross-validation within rows that may be learnt from.
+MAX_TRAIN, PRIOR, DEVIATIONS, DRIFT = 12_000, 0.5, 1.5, 0.2
 
 WORD = re.compile(rb"[a-z0-9_\x80-\xff]+")
 
@@ -35,45 +36,42 @@ def places(text: bytes) -> np.ndarray:
     return (mix(hashes(words)) >> np.uint64(64 - BITS)).astype(np.int64) if words else np.zeros(0, np.int64)
 
 
-def log_odds(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
-    """Each place's score from the numbers of documents of either kind that hold it: log-odds under the Dirichlet prior if toxic ones hold it more often than chance among so many tokens allows, else 0."""
+def log_odds(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int, prior: float = PRIOR, deviations: float = DEVIATIONS) -> np.ndarray:
+    """Each place's score from the numbers of documents of either kind that hold it: log-odds under the Dirichlet prior, of either sign, so many of its standard deviations nearer to 0; 0 for places never seen."""
     both = toxic + other
     if not n_toxic or not n_other:
         return np.zeros(len(both), np.float32)
-    prior = PRIOR * both / both.sum()
-    a, b = toxic + prior, other + prior
+    a, b = (x + prior * both for x in (toxic, other))
     with np.errstate(divide="ignore", invalid="ignore"):
         delta = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
-        base, share = n_toxic / (n_toxic + n_other), toxic / both
-        ratio = np.where(toxic > 0, toxic * np.log(share / base), 0) + np.where(other > 0, other * np.log((1 - share) / (1 - base)), 0)
-        good = (both > 0) & (share > base) & (ratio >= np.log((both > 0).sum()) + MARGIN)
-    return np.where(good, np.maximum(delta, 0), 0).astype(np.float32)
+        sure = np.sign(delta) * np.maximum(np.abs(delta) - deviations * np.sqrt(1 / a + 1 / b), 0)
+    return np.where(both > 0, sure, 0).astype(np.float32)
 
 
 def segments(scores: np.ndarray, drift: float = DRIFT) -> list[tuple[float, int, int]]:
     """All maximal-scoring segments (score, start, end) of the scores less the drift, in order.
 
-    Only tokens above the drift can begin a segment, so the scan runs over those and takes the stretch between two of
-    them as one step; each candidate joins the nearest earlier one whose left sum is lower while its own right sum is
-    the higher, so the work is linear in the tokens.
+    A run of tokens above the drift is one candidate. A candidate joins the nearest earlier one whose left sum is lower
+    if its own right sum is the higher, and then looks on from there. Each candidate keeps a link to that nearest one,
+    and the search goes along the links; none is followed twice, so the work is linear in the tokens.
     """
-    up = np.flatnonzero(scores > drift)
-    if not len(up):
-        return []
-    total = np.concatenate([[0.0], np.cumsum(scores.astype(np.float64) - drift)])
-    found: list[list[float]] = []  # [left sum, right sum, start, end], left and right being totals before and after
-    for i in up.tolist():
-        new = [total[i], total[i + 1], i, i + 1]
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][0] >= new[0]:
-                j -= 1
-            if j < 0 or found[j][1] >= new[1]:
-                found.append(new)
-                break
-            new = [found[j][0], new[1], found[j][2], new[3]]
-            del found[j:]
-    return [(r - left, int(a), int(b)) for left, r, a, b in found]
+    s = scores.astype(np.float64) - drift
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], s > 0, [False]]).astype(np.int8)))
+    total = np.concatenate([[0.0], np.cumsum(s)])
+    begin, end = edge[::2], edge[1::2]
+    left, right, first, last, link = [], [], [], [], []
+    for low, high, a, e in zip(total[begin].tolist(), total[end].tolist(), begin.tolist(), end.tolist()):
+        j = len(left) - 1
+        while j >= 0 and left[j] >= low:
+            j = link[j]
+        while j >= 0 and right[j] < high:
+            low, a, before = left[j], first[j], link[j]
+            for x in (left, right, first, last, link):
+                del x[j:]
+            j = before
+        for x, v in ((left, low), (right, high), (first, a), (last, e), (link, j)):
+            x.append(v)
+    return [(r - lo, a, e) for lo, r, a, e in zip(left, right, first, last)]
 
 
 def scale(scores: np.ndarray, share: np.ndarray, drift: float = DRIFT) -> float:
@@ -91,53 +89,71 @@ def scale(scores: np.ndarray, share: np.ndarray, drift: float = DRIFT) -> float:
     return max(high, 1e-3)
 
 
-def evidence(text_scores: np.ndarray, lam: float, k: float) -> float:
+def bar(n: int, k: float) -> float:
+    """log(K n): lambda S of a segment that is expected once in ``n`` ordinary tokens; not below 0."""
+    return max(0.0, float(np.log(max(k * max(n, 1), 1e-9))))
+
+
+def evidence(text_scores: np.ndarray, lam: float, k: float, drift: float = DRIFT) -> float:
     """The sum of lambda S - log(K n) over the segments that are expected less than once."""
-    n = max(len(text_scores), 1)
-    return float(sum(max(0.0, lam * s - np.log(max(k * n, 1e-9))) for s, _, _ in segments(text_scores)))
+    least = bar(len(text_scores), k)
+    return float(sum(max(0.0, lam * s - least) for s, _, _ in segments(text_scores, drift)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(slope, intercept) by Newton's method with a little shrinkage; the slope is not below 0."""
+    """(slope, intercept) by Newton's method with a little shrinkage, a step halved until it helps; the slope is not below 0."""
+    m, shrink = np.column_stack([x, np.ones(len(x))]), np.array([1e-2, 1e-4])
+
+    def loss(a: np.ndarray) -> float:
+        z = m @ a
+        return float(np.logaddexp(0, z).sum() - y @ z + (shrink * a * a).sum() / 2)
+
     a = np.array([0.0, np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))])
-    m = np.column_stack([x, np.ones(len(x))])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(m @ a, -30, 30)))
-        g = m.T @ (y - p) - np.array([1e-3, 0]) * a
-        h = (m * (p * (1 - p))[:, None]).T @ m + np.eye(2) * 1e-3
-        step = np.linalg.solve(h, g)
-        a = a + np.clip(step, -2, 2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(m @ a, -500, 500)))
+        step = np.linalg.solve((m * (p * (1 - p))[:, None]).T @ m + np.diag(shrink), m.T @ (y - p) - shrink * a)
+        size = 1.0
+        while size > 1e-6 and loss(a + size * step) > loss(a):
+            size /= 2
+        a = a + size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
     return max(float(a[0]), 0.0), float(a[1])
 
 
 def unlike(rows: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, int]]:
-    """One row of those whose texts have the same three smallest places and label: copies would count their words as often as there are copies."""
-    seen, out = set(), []
-    for p, y in rows:
-        key = (*np.unique(p)[:3].tolist(), y)
-        if key not in seen:
-            seen.add(key)
-            out.append((p, y))
-    return out
+    """One row of those with the same tokens and label: copies would count their words as often as there are copies."""
+    return list({(p.tobytes(), y): (p, y) for p, y in rows}.values())
+
 
+def best_score(scores: np.ndarray, drift: float) -> float:
+    return max((s for s, _, _ in segments(scores, drift)), default=0.0)
 
-def fit(rows: list[tuple[np.ndarray, int]]) -> dict:
+
+#: The mean of the standard Gumbel distribution, Euler's constant.
+GUMBEL_MEAN = 0.5772156649015329
+
+
+def statistics(rows: list[tuple[np.ndarray, int]], prior: float, deviations: float, drift: float) -> tuple[np.ndarray, float, float]:
+    """(scores, lambda, K) of rows of tokens and label."""
     size = 1 << BITS
-    rows = unlike(rows)
     toxic, other, counts = np.zeros(size), np.zeros(size), np.zeros(size)
     for p, y in rows:
         np.add.at(toxic if y else other, np.unique(p), 1.0)
         if not y:
             np.add.at(counts, p, 1.0)
     n_toxic = sum(y for _, y in rows)
-    scores = log_odds(toxic, other, n_toxic, len(rows) - n_toxic)
-    share = counts / max(counts.sum(), 1)
-    lam = scale(scores, share)
-    # K from ordinary rows: the mean of exp(lambda S) of the best segments, a token; at least what one in all would give
-    best = [(max((s for s, _, _ in segments(scores[p])), default=0.0), len(p)) for p, y in rows if not y]
-    tokens = sum(n for _, n in best)
-    k = max(sum(np.exp(min(lam * s, 50.0)) > 1.0 for s, _ in best), 1) / max(tokens, 1)
-    x = np.array([np.log1p(evidence(scores[p], lam, k)) for p, _ in rows])
+    scores = log_odds(toxic, other, n_toxic, len(rows) - n_toxic, prior, deviations)
+    lam = scale(scores, counts / max(counts.sum(), 1), drift)
+    # the best segment of n ordinary tokens is Gumbel distributed about log(K n) / lambda: K by the mean of what rows have
+    best = [lam * best_score(scores[p], drift) - np.log(len(p)) for p, y in rows if not y and len(p)]
+    return scores, lam, float(np.exp(np.mean(best) - GUMBEL_MEAN)) if best else 1.0
+
+
+def fit(rows: list[tuple[np.ndarray, int]], prior: float = PRIOR, deviations: float = DEVIATIONS, drift: float = DRIFT) -> dict:
+    rows = unlike(rows)
+    scores, lam, k = statistics(rows, prior, deviations, drift)
+    x = np.array([np.log1p(evidence(scores[p], lam, k, drift)) for p, _ in rows])
     slope, at = logistic(x, np.array([y for _, y in rows], float)) if rows else (0.0, -2.0)
     return {"scores": scores, "lam": lam, "k": k, "slope": slope, "at": at}
 
@@ -151,7 +167,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([places(t).astype("<i4").tobytes() for t in byte_texts(b)], pa.binary())], ["doc_id", "y", "p"])
 
-    rows = map_arrow(rows, tokens, "doc_id long, y int, p binary").dropDuplicates(["doc_id"])
+    # of rows that share an id the one with the smallest tokens, the same in each run
+    rows = map_arrow(rows, tokens, "doc_id long, y int, p binary").groupBy("doc_id").agg(F.min(F.struct("p", "y")).alias("r")).select("doc_id", "r.y", "r.p")
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
@@ -178,9 +195,9 @@ def passages(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
             out, spans = [], []
             for t in byte_texts(b):
                 s = m["scores"][places(t)]
-                bar = np.log(max(m["k"] * max(len(s), 1), 1e-9))
-                good = [(x, a, e) for x, a, e in segments(s) if m["lam"] * x > bar]
-                total = sum(m["lam"] * x - bar for x, _, _ in good)
+                least = bar(len(s), m["k"])
+                good = [(x, a, e) for x, a, e in segments(s) if m["lam"] * x > least]
+                total = sum(m["lam"] * x - least for x, _, _ in good)
                 z = m["slope"] * np.log1p(total) + m["at"]
                 out.append(float(1 / (1 + np.exp(-z))))
                 spans.append([{"start": a, "end": e, "score": float(x)} for x, a, e in good])

@@ -8,32 +8,23 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, pick, read
 
-#: The small labelled table that the query's model learns from: urls that a filter should block (1) or allow (0).
-SEEDS = [(1, f"http://{w}{d}/{p}") for w, d, p in [
-    ("casino-win", ".example.com", "en/1"), ("www.casino-royal", ".example.net", "play"), ("m.casino-online", ".example.org", "de/55"),
-    ("free-bets", ".example.com", "en/2"), ("best-bets", ".example.net", "odds/7"), ("www.sports-bets", ".example.org", "fr/3"),
-    ("cheap-pills", ".example.com", "de/3"), ("www.cheap-meds", ".example.net", "buy"), ("m.pills-shop", ".example.org", "es/9"),
-    ("ads-track", ".example.com", "en/4"), ("www.ads-click", ".example.net", "banner"), ("track-pixel", ".example.org", "ads/8"),
-    ("win-cash", ".example.com", "jackpot"), ("free-slots", ".example.net", "spin"), ("m.poker-win", ".example.org", "en/44"),
-    ("xxx-cams", ".example.com", "live"), ("adult-dates", ".example.net", "join"), ("loan-fast", ".example.org", "apply"),
-]] + [(0, f"https://{w}{d}/{p}") for w, d, p in [
-    ("news", ".example.com", "en/10"), ("www.thelibrary", ".example.net", "de/20"), ("blog.garden", ".example.org", "fr/30"),
-    ("m.weather", ".example.com", "es/40"), ("university", ".example.net", "research/paper"), ("www.museum", ".example.org", "en/60.html"),
-    ("docs.python", ".example.com", "tutorial"), ("blog.tionsh", ".example.com", "de/8765"), ("recipes", ".example.net", "fr/soup"),
-    ("www.history", ".example.org", "article/9"), ("science", ".example.com", "en/8423"), ("m.thering", ".example.org", "en/1291/"),
-    ("theron", ".example.net", "de/5989"), ("www.therst", ".example.net", "fr/4163"), ("tiontion", ".example.net", "en/7817"),
-    ("ththan", ".example.com", "en/7944"), ("www.ththst", ".example.com", "en/1837/"), ("city-council", ".example.org", "en/77"),
-]]
+#: The small labelled table that the query's model learns from, by words that a host's name is made of: urls that a filter
+#: should block (1) or allow (0). Each word stands in four urls; prefixes, domains and paths go round alike for both kinds.
+BLOCKED = "casino bets poker slots jackpot roulette lottery pills viagra meds pharma cams adult dates xxx porn escort loans payday credit cash crypto forex ads banner popup click track pixel warez torrent crack keygen phish replica".split()
+ALLOWED = "news library garden weather university museum python recipes history science city school hospital theatre music travel football nature physics biology grammar poetry cooking painting maps railway castle harbour forest orchestra village journal archive college bakery".split()
+PREFIXES, TAILS, DOMAINS, PATHS = ["www.", "", "m.my", "blog."], ["", "-site", "24"], [".example.com", ".example.net", ".example.org"], ["en/{}", "de/{}.html", "fr/{}/", "es/{}.php", ""]
+SEEDS = [
+    (y, f"https://{PREFIXES[(i + j) % 4]}{w}{TAILS[(i + 2 * j) % 3]}{DOMAINS[(i + j) % 3]}/{PATHS[(i + 3 * j) % 5].format(1000 + 37 * i + j)}")
+    for y, words in ((1, BLOCKED), (0, ALLOWED)) for i, w in enumerate(words) for j in range(4)
+]
 
 #: (block, rule): the contract's rules; a rule is a host followed by the start of a path.
 RULES = [(True, "com/en/"), (False, "example.com/en/7"), (False, "net/de/"), (True, "example.net/de/8"), (True, "org/es/")]
 
 #: Width of the hashed features, epochs, rate and weight decay of training.
-BITS, EPOCHS, RATE, DECAY = 9, 12, 0.8, 1e-4
-#: A labelled table may have so many rows; it is gathered into one row, so its size must be bounded.
-MAX_LABELLED = 5_000
-#: From so many rules on they are joined by host instead of written into the expression.
-MAX_INLINE = 64
+BITS, EPOCHS, RATE, DECAY = 11, 40, 2.0, 1e-4
+#: A labelled table may have so many rows; it is gathered into one row of 16 kB each, 33 MB, so its size must be bounded.
+MAX_LABELLED = 2_000
 
 
 def rows_of(spark: SparkSession, rows: list[tuple], *names: str) -> DataFrame:
@@ -66,8 +57,8 @@ def features(host: Column, path: Column) -> Column:
 def train(labelled: DataFrame, url: str = "url", label: str = "label") -> list[float]:
     """Weights, the bias last, by stochastic gradient descent over the rows ordered by url and label.
 
-    The table is bounded by MAX_LABELLED, so it is folded in one row: an ``aggregate`` over its examples, each repeated
-    EPOCHS times. Rows without a url or a label are left out; without rows all weights are 0 and nothing is blocked.
+    The table is bounded by MAX_LABELLED, so it is folded in one row: an ``aggregate`` over its examples within one
+    over the epochs. Rows without a url or a label are left out; without rows all weights are 0 and nothing is blocked.
     """
     size = (1 << BITS) + 1
     rows = pick(labelled, url, label).where(F.col(url).isNotNull() & F.col(label).isNotNull())
@@ -76,7 +67,7 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label") -> list[f
     host, path = split_url(F.col(url))
     rows = rows.select(F.col(url).alias("u"), F.col(label).cast("double").alias("y"), features(host, path).alias("f"))
     rows = rows.select(F.struct(F.sha2("u", 256).alias("by"), "u", "y", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i == size - 1, F.lit(1.0)).otherwise(F.size(F.filter("f", lambda x: x == i)) / F.sqrt(F.size("f").cast("double")))).alias("x")).alias("e"))
-    one = rows.agg(F.array_sort(F.collect_list("e")).alias("es")).select(F.flatten(F.array_repeat("es", EPOCHS)).alias("es"))
+    one = rows.agg(F.array_sort(F.collect_list("e")).alias("es"))
 
     def step(w: Column, e: Column) -> Column:
         z = F.aggregate(F.zip_with(w, e["x"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
@@ -84,7 +75,8 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label") -> list[f
         # the array of one holds the error, computed once an example
         return F.element_at(F.transform(F.array(error), lambda d: F.zip_with(w, e["x"], lambda a, b: a * (1 - DECAY) + d * b * RATE)), 1)
 
-    return list(one.select(F.aggregate("es", F.array_repeat(F.lit(0.0), size), step).alias("w")).first()["w"])
+    epochs = F.aggregate(F.sequence(F.lit(1), F.lit(EPOCHS)), F.array_repeat(F.lit(0.0), size), lambda w, _: F.aggregate("es", w, step))
+    return list(one.select(epochs.alias("w")).first()["w"])
 
 
 def probability(weights: list[float], host: Column, path: Column) -> Column:
@@ -95,8 +87,16 @@ def probability(weights: list[float], host: Column, path: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def fits(rule_host: Column, rule_path: Column, host: Column, path: Column) -> Column:
-    return ((host == rule_host) | F.endswith(host, F.concat(F.lit("."), rule_host))) & F.startswith(path, rule_path)
+def listed(spark: SparkSession, rules: list[tuple[bool, str]]) -> DataFrame:
+    """One row: a map from a rule's host to its rules as (path, at, block, rule), ``at`` being the rule's place in the list."""
+    rows = []
+    for at, (block, rule) in enumerate(rules):
+        host, _, path = rule.partition("/")
+        rows.append((host.lower(), "/" + path, at, block, rule))
+    if not rows:
+        return spark.range(1).select(F.create_map().cast("map<string,array<struct<path:string,at:int,block:boolean,rule:string>>>").alias("m"))
+    lists = rows_of(spark, rows, "h", "path", "at", "block", "rule").groupBy("h").agg(F.collect_list(F.struct("path", "at", "block", "rule")).alias("rs"))
+    return lists.agg(F.map_from_entries(F.collect_list(F.struct("h", "rs"))).alias("m"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[bool, str]], weights: list[float], key: str = "page_id", url: str = "url") -> DataFrame:
@@ -111,24 +111,14 @@ def judge(pages: DataFrame, rules: list[tuple[bool, str]], weights: list[float],
     base = pick(pages, key, url)
     host, path = split_url(F.col(url))
     base = base.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
-    if len(rules) <= MAX_INLINE:
-        best = F.lit(None).cast("struct<block:boolean,rule:string>")
-        for block, rule in reversed(sorted(rules, key=lambda r: -len(r[1]))):
-            h, _, p = rule.partition("/")
-            best = F.when(fits(F.lit(h.lower()), F.lit("/" + p), F.col("host"), F.col("path")), F.struct(F.lit(block).alias("block"), F.lit(rule).alias("rule"))).otherwise(best)
-    else:
-        # a list of each host, found by the host and its parents: the rules' own hosts that occur are few, so a map is enough
-        by_host: dict[str, list] = {}
-        for block, rule in sorted(rules, key=lambda r: -len(r[1])):
-            h, _, p = rule.partition("/")
-            by_host.setdefault(h.lower(), []).append((p, block, rule))
-        flat = rows_of(pages.sparkSession, [(h, "/" + p, b, r) for h, v in by_host.items() for p, b, r in v], "h", "path", "block", "rule")
-        lists = flat.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("path", "block", "rule"))).alias("rs")).agg(F.map_from_entries(F.collect_list(F.struct("h", "rs"))).alias("m"))
-        base = base.select("*", lists.scalar().alias("m"))
-        labels = F.split("host", r"\.")
-        parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-        fit = F.filter(F.flatten(F.transform(parents, lambda h: F.coalesce(F.element_at("m", h), F.array().cast("array<struct<path:string,block:boolean,rule:string>>")))), lambda r: F.startswith(F.col("path"), r["path"]))
-        best = F.aggregate(fit, F.lit(None).cast("struct<path:string,block:boolean,rule:string>"), lambda a, r: F.when(a.isNull() | (F.length(r["rule"]) > F.length(a["rule"])), r).otherwise(a))
+    # a host's rules and those of its parents are looked up in a map, so the work follows the host's labels, not the rules
+    base = base.select("*", listed(pages.sparkSession, rules).scalar().alias("m"))
+    labels = F.split("host", r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    own = F.flatten(F.transform(parents, lambda h: F.coalesce(F.element_at("m", h), F.array().cast("array<struct<path:string,at:int,block:boolean,rule:string>>"))))
+    fit = F.filter(own, lambda r: F.startswith(F.col("path"), r["path"]))
+    order = F.transform(fit, lambda r: F.struct((-F.length(r["rule"])).alias("short"), r["at"].alias("at"), r["block"].alias("block"), r["rule"].alias("rule")))
+    best = F.array_min(order)
     base = base.select("page_id", "host", "path", best.alias("best"), probability(weights, F.col("host"), F.col("path")).alias("probability"))
     block = F.coalesce(F.col("best.block"), F.col("probability") >= 0.5)
     return base.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.when(block, "block").otherwise("allow").alias("verdict"), "probability")
