@@ -121,13 +121,17 @@ def join_hot(rows: DataFrame, one: DataFrame, key: str | list[str], hot: list, h
     return rows.where(is_hot).join(F.broadcast(one.where(is_hot)), key, how).unionByName(rows.where(~is_hot).join(one.where(~is_hot), key, how))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes what saved() wrote for tables that nothing will read again."""
     for df in tables:
         plan = df.kept._jdf.queryExecution().logical()
         if plan.getClass().getSimpleName() == "LogicalRDD" and plan.rdd().getCheckpointFile().isDefined():
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(plan.rdd().getCheckpointFile().get())
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            remove(df.sparkSession, plan.rdd().getCheckpointFile().get())
 
 
 def byte_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
