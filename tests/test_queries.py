@@ -49,15 +49,15 @@ def test_whole_documents_are_encoded(spark, tmp_path):
     d, width = str(tmp_path), {i: min(x + 2, X.MAX_LENGTH) for i, x in n.items()}
     ids = {r["doc_id"]: r["ids"] for r in plans.framed_ids(spark, d, X.MAX_LENGTH).collect()}
     assert {i: len(x) for i, x in ids.items()} == width
-    assert {r["doc_id"]: (r["width"], r["real_ids"]) for r in plans.QUERIES["pad_mask_corpus"](spark, d).collect()} == {i: (X.MAX_LENGTH, x) for i, x in width.items()}
-    assert {r["doc_id"]: r["n_vectors"] for r in plans.QUERIES["encode_colbert_corpus"](spark, d).collect()} == {i: x - 1 for i, x in width.items()}
+    assert {r["doc_id"]: (r["width"], r["real_ids"]) for r in plans.QUERIES["pad_mask"](spark, d).collect()} == {i: (X.MAX_LENGTH, x) for i, x in width.items()}
+    assert {r["doc_id"]: r["n_vectors"] for r in plans.QUERIES["encode_colbert"](spark, d).collect()} == {i: x - 1 for i, x in width.items()}
     want = {}
     for i, own in ids.items():
         for pos, t in enumerate(own):
             w = max(0.5 + 0.25 * (t % 7) - 0.125 * (pos % 5) - 0.5, 0)
             if w > 0 and t > 3:
                 want[i, t] = max(w, want.get((i, t), 0))
-    assert {(r["doc_id"], r["tid"]): r["w"] for r in plans.QUERIES["encode_sparse_corpus"](spark, d).collect()} == want
+    assert {(r["doc_id"], r["tid"]): r["w"] for r in plans.QUERIES["encode_sparse"](spark, d).collect()} == want
 
 
 def test_entry(spark):
@@ -149,11 +149,11 @@ def test_encoding_does_not_depend_on_batches(spark):
     assert encoding.encode(df, encoding.test_backbone, encoding.TEST_HEADS, dense=True).columns == ["doc_id", "dense_vecs"]
 
 
-def test_exclusive_quantiles(spark):
+def test_quantiles(spark):
     rng = np.random.default_rng(0)
     groups = {"one": [3.0], "two": [1.0, 5.0], "ties": [2.0] * 30, "many": rng.lognormal(size=501).tolist()}
     df = spark.createDataFrame([(k, x) for k, v in groups.items() for x in v] + [("many", None)], "k string, x double")
-    got = {r["k"]: r for r in evaluate.exclusive_quantiles(df, "k", "x", (0.5, 0.95)).collect()}
+    got = {r["k"]: r for r in evaluate.quantiles(df, "k", "x", (0.5, 0.95)).collect()}
     for k, v in groups.items():
         want = (v[0], v[0]) if len(v) == 1 else tuple(statistics.quantiles(v, n=20)[i] for i in (9, 18))
         if k == "two":  # within the ends, where the library extrapolates
@@ -184,3 +184,74 @@ def test_stream(spark, tmp_path):
     got = {r["req_id"]: r for r in spark.table("answers").collect()}
     assert [got[i]["offset"] for i in (0, 1, 2)] == [0, 1, 3] and len({got[i]["batch"] for i in (0, 1, 2)}) == 1
     assert got[4]["error"] == "texts is null" and got[5]["bucket"] == 2 and got[3]["options"] == "sparse"
+
+
+def test_requests_wait_across_triggers(spark, tmp_path):
+    """The first trigger leaves three texts waiting, a later one fills the batch and leaves one."""
+    import time
+
+    from vectide.streaming import microbatch
+
+    kind = "req_id long, options string, texts array<string>"
+
+    def write(rows):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    write([(0, "dense", ["a"]), (1, "dense", ["b", "c"])])
+    q = microbatch.flush_full(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), 4, window_ms=3_600_000)
+    q = q.writeStream.format("memory").queryName("waiting").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="300 milliseconds").start()
+    try:
+        for _ in range(120):
+            if any(p["numInputRows"] for p in q.recentProgress):
+                break
+            time.sleep(0.5)
+        assert not spark.table("waiting").count()
+        write([(2, "dense", ["d"]), (3, "dense", ["e"]), (4, "dense", None)])
+        for _ in range(120):
+            if spark.table("waiting").count():
+                break
+            time.sleep(0.5)
+        got = {r["req_id"]: r for r in spark.table("waiting").collect()}
+    finally:
+        q.stop()
+    assert [(got[j]["batch"], got[j]["offset"]) for j in (0, 1, 2)] == [(0, 0), (0, 1), (0, 3)] and 3 not in got and got[4]["error"]
+
+
+def test_requests_leave_when_the_window_ends(spark, tmp_path):
+    import time
+
+    from vectide.streaming import microbatch
+
+    kind = "req_id long, options string, texts array<string>"
+    spark.createDataFrame([(0, "dense", ["a"])], kind).coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = microbatch.flush_full(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), 4, window_ms=1_000)
+    q = q.writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(80):
+            if spark.table("late").count():
+                break
+            time.sleep(0.5)
+        assert [(r["req_id"], r["batch"], r["offset"]) for r in spark.table("late").collect()] == [(0, 0, 0)]
+    finally:
+        q.stop()
+
+
+def test_quantiles_with_an_outlier(spark):
+    import numpy as np
+
+    from vectide.operators import evaluate
+
+    x = [*np.random.default_rng(3).exponential(1.0, 500).tolist(), *[2.5] * 200, 1e12, -1e9]
+    df = spark.createDataFrame([("a", v) for v in x] + [("b", 7.0)], "k string, x double")
+    got = {r["k"]: r for r in evaluate.quantiles(df, "k", "x", (0.01, 0.5, 0.95), inclusive=True).collect()}
+    assert np.allclose([got["a"][str(p)] for p in (0.01, 0.5, 0.95)], np.quantile(x, [0.01, 0.5, 0.95]))
+    assert got["b"]["0.5"] == 7.0 and got["b"]["n"] == 1
+
+
+def test_held_out_texts_must_not_be_seen(spark):
+    from vectide.operators import integrity
+
+    seen = spark.createDataFrame([("a",), ("b",), (" ",), (None,)], "text string")
+    integrity.require_disjoint(spark.createDataFrame([("c",), (" ",), (None,)], "text string"), seen)
+    with pytest.raises(ValueError, match="1 "):
+        integrity.require_disjoint(spark.createDataFrame([("c",), ("b",)], "text string"), seen)

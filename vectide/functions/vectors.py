@@ -88,3 +88,8 @@ def hybrid(dense: Column, sparse: Column, colbert: Column, weights: tuple[float,
         raise ValueError("three weights are needed: dense, sparse, colbert")
     d, s, c = weights
     return (sparse * s + dense * d) / (d + s), (colbert * c + sparse * s + dense * d) / (d + s + c)
+
+
+def zero_point_product(product: Column, column_sum: Column, scale: Column, weight_scale: Column, zero: Column) -> Column:
+    """A product of shifted codes in real numbers: the zero point's share, itself times the sum of the weights' codes, is taken off."""
+    return scale * weight_scale * (product - zero * column_sum)

@@ -33,3 +33,10 @@ def shared_contents(rows: DataFrame, key: str, content: Column) -> DataFrame:
     own = rows.select(F.col(key).alias("_id"), F.sha1(content).alias("digest"), F.octet_length(content).cast("long").alias("bytes"))
     got = own.groupBy("digest", "bytes").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     return got.withColumn("saved", (F.col("copies") - 1) * F.col("bytes"))
+
+
+def require_disjoint(held_out: DataFrame, seen: DataFrame, text: str = "text") -> None:
+    """An error if a text of ``held_out`` that isn't blank stands in ``seen`` too."""
+    both = held_out.where(F.trim(text) != "").select(text).distinct().join(seen.select(text), text, "left_semi").count()
+    if both:
+        raise ValueError(f"{both} held-out texts have been seen")

@@ -67,43 +67,79 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return parts.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def max_sim(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """(query_id, row_id, score): late interaction, the mean over a query's vectors of the best inner product with the row's.
+def max_sim(queries: DataFrame, rows: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, row_id, score), with rank too where ``k`` is given: late interaction, the mean over a query's vectors of the best inner product with the row's.
 
-    ``queries`` and ``rows``: (id, pos, vector), several vectors an id. Each task reduces its rows to one maximum for
-    each query vector and row id; queries are sent in blocks, so neither side is crossed as a table.
+    ``queries`` and ``rows``: (id, pos, vector), several vectors an id. Rows are dealt out by id, so a task has all of
+    an id's vectors and finishes its scores; with ``k`` it keeps k rows a query, by score to 9 places and then by id.
+    Queries are sent in blocks, a query's vectors in one.
     """
     spark = rows.sparkSession
-    queries = queries.select(F.col("id").cast("long"), F.col("pos").cast("long"), doubles(F.col("vector")).alias("vector")).dropna()
+    queries = queries.select(F.col("id").cast("long"), doubles(F.col("vector")).alias("vector")).dropna()
     rows = rows.select(F.col("id").cast("long"), doubles(F.col("vector")).alias("vector")).dropna()
+    schema = "query_id long, row_id long, score double"
     first = queries.select(F.size("vector")).first()
     if first is None:
-        return spark.createDataFrame([], "query_id long, row_id long, score double")
+        return spark.createDataFrame([], schema + (", rank int" if k else ""))
     blocks = max(1, -(-queries.count() * first[0] * 8 // BLOCK_BYTES))
+    dealt = rows.repartition("id").sortWithinPartitions("id")
     parts = None
     for i in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id", "pos"), F.lit(blocks)) == i)
-        got = block.toArrow()
-        shared = spark.sparkContext.broadcast((np.array(got.column(0).to_pylist(), np.int64), np.array(got.column(1).to_pylist(), np.int64), _matrix(got.column(2))))
+        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)
+        got = block.orderBy("id").toArrow()
+        shared = spark.sparkContext.broadcast((np.array(got.column(0).to_pylist(), np.int64), _matrix(got.column(1))))
 
-        def best(batches, shared=shared):
-            ids, pos, q = shared.value
-            for b in batches if len(ids) else ():
-                out = []
-                for at in range(0, b.num_rows, 2048):
-                    part = b.slice(at, 2048)
-                    if not part.num_rows:
-                        continue
-                    own = np.array(part.column(0).to_pylist(), np.int64)
-                    order = np.argsort(own, kind="stable")
-                    s = scores(_matrix(part.column(1))[order], q)
-                    names, start = np.unique(own[order], return_index=True)
-                    out.append((np.repeat(names, len(ids)), np.tile(ids, len(names)), np.tile(pos, len(names)), np.maximum.reduceat(s, start, axis=0).ravel()))
-                if out:
-                    r, i, p, s = (np.concatenate(x) for x in zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(p), pa.array(r), pa.array(s)], ["query_id", "pos", "row_id", "s"])
-
-        found = rows.mapInArrow(best, "query_id long, pos long, row_id long, s double")
+        def finish(batches, shared=shared):
+            """Whole ids at a time: the last one of a batch waits for the next batch."""
+            owner, q = shared.value
+            names, start, sizes = np.unique(owner, return_index=True, return_counts=True)
+            best, best_id = np.zeros((0, len(names))), np.zeros((0, len(names)), np.int64)
+
+            def scored(ids: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                own, at = np.unique(ids, return_index=True)
+                most = np.maximum.reduceat(scores(matrix, q), at, axis=0)
+                return own, np.add.reduceat(most, start, axis=1) / sizes
+
+            held = None
+            for ids, matrix in _with_end(_chunks(batches)):
+                if ids is None:
+                    if held is None:
+                        break
+                    ids, matrix, whole = *held, len(held[0])
+                else:
+                    if held is not None:
+                        ids, matrix = np.concatenate([held[0], ids]), np.vstack([held[1], matrix])
+                    whole = int(np.searchsorted(ids, ids[-1]))
+                    held = ids[whole:], matrix[whole:]
+                if not whole:
+                    continue
+                own, s = scored(ids[:whole], matrix[:whole])
+                if k is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(names, len(own))), pa.array(np.repeat(own, len(names))), pa.array(s.ravel())], ["query_id", "row_id", "score"])
+                    continue
+                s = np.vstack([best, s])
+                r = np.vstack([best_id, np.repeat(own[:, None], len(names), axis=1)])
+                order = np.lexsort((r, -np.round(s, 9)), axis=0)[:k]
+                best, best_id = np.take_along_axis(s, order, 0), np.take_along_axis(r, order, 0)
+            if k is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(names, len(best))), pa.array(best_id.ravel()), pa.array(best.ravel())], ["query_id", "row_id", "score"])
+
+        found = dealt.mapInArrow(finish, schema)
         parts = found if parts is None else parts.union(found)
-    best_of = parts.groupBy("query_id", "row_id", "pos").agg(F.max("s").alias("s"))
-    return best_of.groupBy("query_id", "row_id").agg(F.avg("s").alias("score"))
+    if k is None:
+        return parts
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "row_id"))
+    return parts.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _chunks(batches):
+    """(ids, vectors) of some rows at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, 2048):
+            part = b.slice(at, 2048)
+            yield np.array(part.column(0).to_pylist(), np.int64), _matrix(part.column(1))
+
+
+def _with_end(chunks):
+    yield from chunks
+    yield None, None

@@ -145,14 +145,15 @@ def int8_cosine_loss(spark, d):
 
 @query(f"""WITH {LOSS} SELECT label, count(*) AS n, round(quantile_cont(c, 0.01), 9) AS p1, round(quantile_cont(c, 0.05), 9) AS p5, round(min(c), 9) AS least, round(avg(c), 9) AS mean FROM c GROUP BY label""")
 def token_cos_percentiles(spark, d):
-    p = F.percentile("c", F.array(F.lit(0.01), F.lit(0.05)))
-    own = losses(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"), p.alias("p"), F.min("c").alias("least"), F.avg("c").alias("mean"))
-    return own.select("label", "n", F.round(F.col("p")[0], 9).alias("p1"), F.round(F.col("p")[1], 9).alias("p5"), F.round("least", 9).alias("least"), F.round("mean", 9).alias("mean"))
+    own = losses(spark, d)
+    low = evaluate.quantiles(own, "label", "c", (0.01, 0.05), inclusive=True).select("label", F.round("`0.01`", 9).alias("p1"), F.round("`0.05`", 9).alias("p5"))
+    ends = own.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("c"), 9).alias("least"), F.round(F.avg("c"), 9).alias("mean"))
+    return ends.join(low, "label")
 
 
-@query(f"WITH {VECS}, e AS (SELECT unnest(range(0, len(v)))::INT AS pos, unnest(v) AS x FROM vecs) SELECT pos, max(abs(x)) AS amax, count(*) AS n FROM e GROUP BY pos")
+@query(f"WITH {VECS}, e AS (SELECT unnest(range(0, len(v)))::INT AS pos, unnest(v) AS x FROM vecs) SELECT pos, max(abs(x)) AS amax, round(sum(x), 6) AS total, count(*) AS n FROM e GROUP BY pos")
 def channel_absmax(spark, d):
-    return vectors(spark, d).select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.max(F.abs("x")).alias("amax"), F.count(F.lit(1)).alias("n"))
+    return vectors(spark, d).select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.max(F.abs("x")).alias("amax"), F.round(F.sum("x"), 6).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {VECS}, e AS (SELECT label, unnest(range(0, len(v)))::INT AS pos, unnest(v) AS x FROM vecs), m AS (SELECT label, pos, avg(x) AS w, max(abs(x)) AS x FROM e GROUP BY label, pos),
@@ -171,6 +172,32 @@ def dequantized_products(spark, d):
     return own.select("a", "b", F.round(F.col("s_a") * F.col("s_b") * V.dot(F.col("q_a"), F.col("q_b")), 6).alias("product"))
 
 
+@query(f"""WITH {SYM}, r AS (SELECT vec_id, v, least(list_min(v), 0.0) AS lo, greatest(list_max(v), 0.0) AS hi FROM vecs),
+t AS (SELECT vec_id, v, lo, greatest((hi - lo) / 255, 1e-10) AS s FROM r), z AS (SELECT vec_id, v, s, round_even(-lo / s, 0)::INT AS z FROM t),
+u AS (SELECT vec_id, s, z, list_transform(v, lambda x: greatest(least(round_even(x / s, 0) + z, 255), 0)::INT) AS u FROM z)
+SELECT u.vec_id AS a, q.vec_id AS b, z AS zero_point, list_sum(q.q)::BIGINT AS column_sum, list_inner_product(u.u::DOUBLE[], q.q::DOUBLE[])::BIGINT AS codes_product,
+round(u.s * q.s * (list_inner_product(u.u::DOUBLE[], q.q::DOUBLE[]) - z * list_sum(q.q)), 6) AS product FROM u JOIN q ON q.vec_id = u.vec_id + 1""")
+def zero_point_products(spark, d):
+    """Activations in uint8 with a zero point times a column of weights in int8: the integer product less the zero point times the column's sum, scaled."""
+    left = vectors(spark, d).withColumn("s", V.asymmetric_scale(F.col("v")))
+    left = left.withColumn("z", V.zero_point(F.col("v"), F.col("s"))).select(F.col("vec_id").alias("a"), "s", "z", V.asymmetric_codes(F.col("v"), F.col("s"), F.col("z")).alias("u"))
+    right = symmetric(spark, d).select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("s").alias("t"), "q")
+    both = left.join(right, "a").withColumn("column_sum", F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x)).withColumn("codes_product", V.dot(F.col("u"), F.col("q")).cast("long"))
+    return both.select("a", "b", F.col("z").cast("int").alias("zero_point"), "column_sum", "codes_product", F.round(V.zero_point_product(F.col("codes_product"), F.col("column_sum"), F.col("s"), F.col("t"), F.col("z")), 6).alias("product"))
+
+
+@query(f"""WITH {SYM}, o AS (SELECT v AS v0 FROM vecs WHERE vec_id = 0), y AS (SELECT vec_id, v, list_transform(q, lambda x: x * s) AS y FROM q), o2 AS (SELECT y AS y0 FROM y WHERE vec_id = 0),
+both_scores AS (SELECT vec_id, round(list_inner_product(v, v0), 9) AS s1, round(list_inner_product(y, y0), 9) AS s2 FROM y, o, o2 WHERE vec_id <> 0),
+r AS (SELECT *, row_number() OVER (ORDER BY s1 DESC, vec_id) AS r1, row_number() OVER (ORDER BY s2 DESC, vec_id) AS r2 FROM both_scores)
+SELECT vec_id, r1, r2 FROM r WHERE r1 <= 20 OR r2 <= 20""")
+def ranking_agreement(spark, d):
+    """The report on query 0 against all other vectors: where each stands by its floats and by its int8 codes, for those among the first twenty of either."""
+    own = symmetric(spark, d).withColumn("y", V.dequantized(F.col("q"), F.col("s"))).select("vec_id", "v", "y")
+    first = own.where("vec_id = 0").select(F.col("v").alias("v0"), F.col("y").alias("y0"))  # one row
+    both = own.where("vec_id != 0").join(F.broadcast(first)).select("vec_id", F.round(V.dot(F.col("v"), F.col("v0")), 9).alias("s1"), F.round(V.dot(F.col("y"), F.col("y0")), 9).alias("s2"))
+    return evaluate.places(both, "vec_id", ("s1", "s2"), 20).toDF("vec_id", "r1", "r2")
+
+
 @query(f"WITH {SYM} SELECT l.doc_id, round(list_sum(list_transform(q, lambda x: x * s)), 6) AS total FROM labels l JOIN q ON q.vec_id = l.doc_id")
 def embedding_gather(spark, d):
     rows = table(spark, d, "labels").select("doc_id").join(symmetric(spark, d).withColumnRenamed("vec_id", "doc_id"), "doc_id")
@@ -211,22 +238,17 @@ def length_buckets(spark, d):
     return own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("chars"), F.sum("o").alias("bytes"))
 
 
-IDS = f"ids AS (SELECT doc_id, list_transform({WORDS}, lambda w: {TID}::INT) AS ids FROM documents), framed AS (SELECT doc_id, list_concat([0], list_concat(ids[1:510], [2])) AS ids FROM ids)"
-
+IDS = f"ids AS (SELECT doc_id, list_transform({WORDS}, lambda w: {TID}::INT) AS ids FROM documents), framed AS (SELECT doc_id, list_concat([0], list_concat(ids[1:8190], [2])) AS ids FROM ids)"
 
-def whole(name: str) -> str:
-    """The SQL of a query over documents cut as queries are, with them cut at the longest that is encoded instead."""
-    return SQL[name].replace(f"ids[1:{X.QUERY_MAX_LENGTH - 2}]", f"ids[1:{X.MAX_LENGTH - 2}]")
 
-
-def framed_ids(spark, d, max_length=X.QUERY_MAX_LENGTH):
+def framed_ids(spark, d, max_length=X.MAX_LENGTH):
     return table(spark, d, "documents").select("doc_id", X.framed(F.transform(X.words(F.col("text")), X.hashed_id), max_length).alias("ids"))
 
 
-@query(f"WITH {IDS} SELECT doc_id, len(ids)::INT AS n, ids[1]::INT AS first, ids[len(ids)]::INT AS last, list_sum(ids)::BIGINT AS total FROM framed")
+@query(f"WITH {IDS.replace('8190', '510')} SELECT doc_id, len(ids)::INT AS n, ids[1]::INT AS first, ids[len(ids)]::INT AS last, list_sum(ids)::BIGINT AS total FROM framed")
 def truncate_ids(spark, d):
     total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
-    return framed_ids(spark, d).select("doc_id", F.size("ids").alias("n"), F.element_at("ids", 1).alias("first"), F.element_at("ids", -1).alias("last"), total.alias("total"))
+    return framed_ids(spark, d, X.QUERY_MAX_LENGTH).select("doc_id", F.size("ids").alias("n"), F.element_at("ids", 1).alias("first"), F.element_at("ids", -1).alias("last"), total.alias("total"))
 
 
 @query(f"WITH t AS (SELECT doc_id, {WORDS} AS ws FROM documents) SELECT doc_id, length(list_aggregate(ws, 'string_agg', ' '))::INT AS n_chars, md5(list_aggregate(ws, 'string_agg', ' ')) AS digest FROM t")
@@ -308,12 +330,8 @@ def maxsim_scores(spark, d):
 
 @query(f"WITH {SIMS} SELECT query_id, row_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, row_id)::INT AS rank FROM sims) WHERE rank <= 10")
 def maxsim_topk(spark, d):
-    from pyspark.sql import Window
-
     rows = quarters(spark, d)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "row_id"))
-    found = retrieval.max_sim(rows.where("id % 100 = 0"), rows).withColumn("rank", rank).where(F.col("rank") <= 10)
-    return found.withColumn("score", F.round("score", 6))
+    return retrieval.max_sim(rows.where("id % 100 = 0"), rows, 10).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH {TOKENS.replace('tokens AS', 'word_tokens AS').replace('FROM tokens', 'FROM word_tokens')}, {QUARTERS}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_inner_product(a.v, b.v) AS dense FROM vecs a JOIN vecs b ON b.vec_id = a.vec_id + 1),
@@ -372,18 +390,13 @@ def padding_waste(spark, d):
 @query(f"""WITH {IDS}, w AS (SELECT doc_id // 64 AS call, max(len(ids)) AS width FROM framed GROUP BY ALL),
 p AS (SELECT doc_id, list_concat(ids, list_resize([]::INT[], width - len(ids), 1)) AS ids, len(ids) AS n FROM framed JOIN w ON w.call = doc_id // 64)
 SELECT doc_id, len(ids)::INT AS width, n::INT AS real_ids, list_sum(ids)::BIGINT AS total FROM p""")
-def pad_mask(spark, d, max_length=X.QUERY_MAX_LENGTH):
-    ids = framed_ids(spark, d, max_length).withColumn("call", F.floor(F.col("doc_id") / 64))
+def pad_mask(spark, d):
+    ids = framed_ids(spark, d).withColumn("call", F.floor(F.col("doc_id") / 64))
     widths = ids.groupBy("call").agg(F.max(F.size("ids")).alias("w"))
     own = ids.join(widths, "call").select("doc_id", X.padded(F.col("ids"), F.col("w")).alias("p"), F.size("ids").alias("real_ids"))
     return own.select("doc_id", F.size("p").alias("width"), "real_ids", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query(whole("pad_mask"))
-def pad_mask_corpus(spark, d):
-    return pad_mask(spark, d, X.MAX_LENGTH)
-
-
 # --- encoding with the closed-form test backbone ------------------------------------------------------------------------
 
 HIDDEN = f"""{IDS}, hid AS (SELECT doc_id, unnest(ids) AS tid, unnest(range(0, len(ids))) AS pos, len(ids) AS n FROM framed),
@@ -398,29 +411,19 @@ def encode_dense(spark, d):
 
 @query(f"""WITH {HIDDEN}, w AS (SELECT doc_id, tid, greatest(0.5 * h0 + 0.25 * h1 - 0.125 * h2 - 0.5, 0) AS w FROM h)
 SELECT doc_id, tid, max(w) AS w FROM w WHERE w > 0 AND tid NOT IN (0, 1, 2, 3) GROUP BY ALL""")
-def encode_sparse(spark, d, max_length=X.QUERY_MAX_LENGTH):
-    got = encoding.encode(framed_ids(spark, d, max_length), encoding.test_backbone, encoding.TEST_HEADS, sparse=True)
+def encode_sparse(spark, d):
+    got = encoding.encode(framed_ids(spark, d), encoding.test_backbone, encoding.TEST_HEADS, sparse=True)
     return got.select("doc_id", F.explode("lexical_weights").alias("tid", "w")).select("doc_id", F.col("tid").cast("int").alias("tid"), F.col("w").cast("double").alias("w"))
 
 
 @query(f"""WITH {HIDDEN}, c AS (SELECT doc_id, pos, h0 + h1 AS c0, h1 - h2 AS c1, h0 + h2 AS c2 FROM h WHERE pos > 0), n AS (SELECT *, sqrt(c0 * c0 + c1 * c1 + c2 * c2) AS n FROM c)
 SELECT doc_id, count(*) AS n_vectors, round(sum(c0 / n), 3) AS s0, round(sum(c1 / n), 3) AS s1, round(sum(c2 / n), 3) AS s2 FROM n GROUP BY doc_id""")
-def encode_colbert(spark, d, max_length=X.QUERY_MAX_LENGTH):
-    got = encoding.encode(framed_ids(spark, d, max_length), encoding.test_backbone, encoding.TEST_HEADS, colbert=True, wide=True)
+def encode_colbert(spark, d):
+    got = encoding.encode(framed_ids(spark, d), encoding.test_backbone, encoding.TEST_HEADS, colbert=True, wide=True)
     rows = got.select("doc_id", F.explode("colbert_vecs").alias("v"))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_vectors"), *[F.round(F.sum(F.col("v")[i].cast("double")), 3).alias(f"s{i}") for i in range(3)])
 
 
-@query(whole("encode_sparse"))
-def encode_sparse_corpus(spark, d):
-    return encode_sparse(spark, d, X.MAX_LENGTH)
-
-
-@query(whole("encode_colbert"))
-def encode_colbert_corpus(spark, d):
-    return encode_colbert(spark, d, X.MAX_LENGTH)
-
-
 # --- evaluation -----------------------------------------------------------------------------------------------------
 
 #: The candidate's weights: rounded to tenths, and those below a tenth gone.
@@ -450,10 +453,10 @@ def topk_agreement(spark, d):
 @query(f"""WITH {BOTH} SELECT coalesce(a.id, b.id) AS doc_id, count(*) FILTER (b.tid IS NULL) AS only_first, count(*) FILTER (a.tid IS NULL) AS only_second
 FROM pooled a FULL JOIN (SELECT id, tid FROM two WHERE w2 IS NOT NULL) b ON a.id = b.id AND a.tid = b.tid GROUP BY 1""")
 def key_set_differences(spark, d):
-    first = pooled(spark, d).select("id", "tid", F.lit(True).alias("one"))
-    second = both_weights(spark, d).where("w2 IS NOT NULL").select("id", "tid", F.lit(True).alias("two"))
-    own = first.join(second, ["id", "tid"], "full")
-    return own.groupBy(F.col("id").alias("doc_id")).agg(F.count_if(F.col("two").isNull()).alias("only_first"), F.count_if(F.col("one").isNull()).alias("only_second"))
+    # both weights of a token stand in one row, so the outer join is done: a side has a token where it has a weight
+    one, two = F.col("w1").isNotNull(), F.col("w2").isNotNull()
+    own = both_weights(spark, d).groupBy(F.col("id").alias("doc_id"))
+    return own.agg(F.count_if(one & ~two).alias("only_first"), F.count_if(two & ~one).alias("only_second"))
 
 
 @query("""WITH o AS (SELECT event_type, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),
@@ -461,7 +464,7 @@ g AS (SELECT DISTINCT event_type, n, least(greatest(0.5 * (n + 1), 1), n)::DOUBL
 SELECT g.event_type, g.n, round(max(x) FILTER (r = floor(a)) * (1 - (a - floor(a))) + coalesce(max(x) FILTER (r = floor(a) + 1), 0) * (a - floor(a)), 6) AS p50,
 round(max(x) FILTER (r = floor(b)) * (1 - (b - floor(b))) + coalesce(max(x) FILTER (r = floor(b) + 1), 0) * (b - floor(b)), 6) AS p95 FROM g JOIN o USING (event_type) GROUP BY g.event_type, g.n, a, b""")
 def latency_quantiles(spark, d):
-    got = evaluate.exclusive_quantiles(table(spark, d, "events"), "event_type", "value", (0.5, 0.95))
+    got = evaluate.quantiles(table(spark, d, "events"), "event_type", "value", (0.5, 0.95))
     return got.select("event_type", "n", F.round("`0.5`", 6).alias("p50"), F.round("`0.95`", 6).alias("p95"))
 
 

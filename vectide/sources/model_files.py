@@ -6,6 +6,7 @@ import collections
 import hashlib
 import io
 import pickle
+import pickletools
 import struct
 import zipfile
 from dataclasses import dataclass, field
@@ -154,41 +155,112 @@ def cached_vocabulary(spark: SparkSession, path: str, folder: str) -> DataFrame:
     return spark.read.parquet(kept)
 
 
-def tensors(data: bytes) -> dict[str, np.ndarray]:
-    """The arrays of a zipped tensor archive. Its pickle may name storages, the tensor builder, sizes and ordered dicts; anything else is refused."""
+@dataclass(frozen=True)
+class Reference:
+    """What a pickle names but a reader of manifests doesn't build: a global by its module and name, or a call of one."""
+
+    what: str
+    args: tuple = ()
+
+
+#: Opcodes that put their own argument on the stack, constants, and those that take so many values off it into a tuple.
+PLAIN = {"BININT", "BININT1", "BININT2", "LONG1", "BINUNICODE", "SHORT_BINUNICODE", "BINUNICODE8", "BINFLOAT"}
+CONSTANT = {"NONE": None, "NEWTRUE": True, "NEWFALSE": False, "EMPTY_TUPLE": ()}
+TUPLES = {"TUPLE1": 1, "TUPLE2": 2, "TUPLE3": 3}
+
+
+def described(pickled: bytes) -> object:
+    """The object that a pickle describes, as plain values and References: its opcodes are read, nothing is imported or called. Opcodes that named tensors don't need are refused."""
+    stack: list = []
+    marks: list[int] = []
+    memo: dict[int, object] = {}
+
+    def since_mark() -> list:
+        at = marks.pop()
+        out = stack[at:]
+        del stack[at:]
+        return out
+
+    def pairs(flat: list) -> None:
+        if not isinstance(stack[-1], dict):
+            raise pickle.UnpicklingError("items of something that isn't a dict")
+        stack[-1].update(zip(flat[::2], flat[1::2]))
+
+    for opcode, value, _ in pickletools.genops(pickled):
+        name = opcode.name
+        if name in PLAIN:
+            stack.append(value)
+        elif name in CONSTANT:
+            stack.append(CONSTANT[name])
+        elif name in TUPLES:
+            n = TUPLES[name]
+            stack[-n:] = [tuple(stack[-n:])]
+        elif name == "MARK":
+            marks.append(len(stack))
+        elif name == "TUPLE":
+            stack.append(tuple(since_mark()))
+        elif name in ("EMPTY_DICT", "EMPTY_LIST"):
+            stack.append({} if name == "EMPTY_DICT" else [])
+        elif name == "GLOBAL":
+            stack.append(Reference(value.replace(" ", ".")))
+        elif name == "STACK_GLOBAL":
+            stack[-2:] = [Reference(f"{stack[-2]}.{stack[-1]}")]
+        elif name == "BINPERSID":
+            stack[-1] = Reference("stored", tuple(stack[-1]))
+        elif name == "REDUCE":
+            args = stack.pop()
+            called = stack[-1].what if isinstance(stack[-1], Reference) else "a value"
+            stack[-1] = {} if called == "collections.OrderedDict" else Reference(called, args)
+        elif name in ("SETITEM", "SETITEMS"):
+            flat = since_mark() if name == "SETITEMS" else [stack.pop() for _ in range(2)][::-1]
+            pairs(flat)
+        elif name in ("BINPUT", "LONG_BINPUT", "MEMOIZE"):
+            memo[len(memo) if value is None else value] = stack[-1]
+        elif name in ("BINGET", "LONG_BINGET"):
+            stack.append(memo[value])
+        elif name == "BUILD":
+            stack.pop()  # attributes of the dict, which tensors don't need
+        elif name == "STOP":
+            return stack[-1]
+        elif name not in ("PROTO", "FRAME"):
+            raise pickle.UnpicklingError(f"opcode {name} is not allowed")
+    raise pickle.UnpicklingError("the pickle has no end")
+
+
+def tensor_table(data: bytes) -> list[tuple[str, str, str, int, list[int], list[int]]]:
+    """(name, dtype, member, offset, shape, strides) of each tensor of a zipped archive, offset and strides in values. The member is the archive's file that holds the values."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = [n for n in z.namelist() if n.endswith("/data.pkl")]
         if len(names) != 1:
             raise ValueError("not a tensor archive")
-        folder = names[0].removesuffix("data.pkl")
-
-        def build(storage, offset, shape, strides, *_):
-            kind, key = storage
-            flat = np.frombuffer(z.read(f"{folder}data/{key}"), kind)
-            if not all(shape):
-                return np.zeros(shape, kind)
-            index = offset + sum(np.arange(n).reshape([-1 if k == i else 1 for k in range(len(shape))]) * s for i, (n, s) in enumerate(zip(shape, strides)))
-            return flat[index]
-
-        class Reader(pickle.Unpickler):
-            def find_class(self, module: str, name: str):
-                allowed = {("torch._utils", "_rebuild_tensor_v2"): build, ("collections", "OrderedDict"): collections.OrderedDict, ("torch", "Size"): tuple}
-                if module in ("torch", "torch.storage") and name in STORAGE:
-                    return name
-                if (module, name) not in allowed:
-                    raise pickle.UnpicklingError(f"{module}.{name} is not allowed")
-                return allowed[module, name]
-
-            def persistent_load(self, pid):
-                kind, key = pid[1], pid[2]
-                if kind not in STORAGE:
-                    raise pickle.UnpicklingError(f"storage {kind} is not known")
-                return STORAGE[kind], key
-
-        got = Reader(io.BytesIO(z.read(names[0]))).load()
-    if not isinstance(got, dict):
-        raise ValueError("the archive holds no named tensors")
-    return {str(k): np.asarray(v) for k, v in got.items()}
+        top = described(z.read(names[0]))
+    if not isinstance(top, dict):
+        raise pickle.UnpicklingError("the archive holds no named tensors")
+    rows = []
+    for name, tensor in top.items():
+        if not isinstance(tensor, Reference) or tensor.what != "torch._utils._rebuild_tensor_v2":
+            raise pickle.UnpicklingError(f"{name} is {getattr(tensor, 'what', type(tensor).__name__)}, not a tensor")
+        stored, offset, shape, strides = tensor.args[:4]
+        kind = stored.args[1].what.rpartition(".")[2]
+        if kind not in STORAGE:
+            raise pickle.UnpicklingError(f"storage {kind} is not known")
+        sizes = shape.args[0] if isinstance(shape, Reference) else shape
+        rows.append((str(name), STORAGE[kind], f"{names[0].removesuffix('data.pkl')}data/{stored.args[2]}", offset, list(sizes), list(strides)))
+    return rows
+
+
+def tensors(data: bytes) -> dict[str, np.ndarray]:
+    """The arrays of a zipped tensor archive, by its table."""
+    out = {}
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        for name, kind, member, offset, shape, strides in tensor_table(data):
+            values = np.frombuffer(z.read(member), kind)
+            last = offset + sum((n - 1) * s for n, s in zip(shape, strides))
+            if min([0, offset, *strides]) < 0 or all(shape) and last >= len(values):
+                raise ValueError(f"{name} reaches beyond its storage")
+            steps = [s * values.itemsize for s in strides]
+            out[name] = np.lib.stride_tricks.as_strided(values[offset:], shape, steps).copy() if all(shape) else np.zeros(shape, kind)
+    return out
 
 
 def verify_manifest(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
