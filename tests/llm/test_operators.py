@@ -229,6 +229,28 @@ def test_one_id_with_two_texts_is_learnt_alike(spark):
     assert np.array_equal(toxicity.learn(first, labels)["scores"], toxicity.learn(second, labels)["scores"])
 
 
+def test_windows_of_a_hot_run_are_dealt_out(spark):
+    """Texts that share one short run with the smallest hash and differ elsewhere: its windows don't meet in one bucket, and a passage in two of them is still found."""
+    r = random.Random(8)
+    powers = substring_dedup.Powers()
+
+    def least(words):
+        h = substring_dedup.hashes_of(words)
+        return int(substring_dedup.rolling(h, substring_dedup.RUN, 0, powers(len(h) + 1)).min())
+
+    run = min(([f"r{i}x{j}" for j in range(8)] for i in range(3000)), key=least)
+    rows_ = []
+    for i in range(400):
+        w = [f"u{i}y{j}" for j in range(80)]
+        rows_.append((i, " ".join([*w[:40], *run, *w[40:]])))
+    rows_ += [(400 + i, rows_[7][1]) for i in range(2)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    _, words, hot = substring_dedup.sketch(df, 35, 16)
+    assert words == 402 * 88 and len(hot)
+    out = {x["doc_id"]: x["n_removed"] for x in substring_dedup.removals(df).collect()}
+    assert {i for i, n in out.items() if n} == {7, 400, 401}
+
+
 def test_near_groups_of_mixed_lists(spark):
     """Copies near each other but not near their list's first: the second pass joins components, and nothing is lost."""
     r = random.Random(1)

@@ -84,7 +84,8 @@ def within(queries: DataFrame, all_marks: DataFrame, radius: int) -> DataFrame:
     distance. A pair is given once, by the first such block.
     """
     ranges, slack = blocks(radius)
-    mine = keys(queries.select("fingerprint").dropna().distinct(), radius, True)
+    # a query has some 1,700 probes, so even few queries are dealt out before
+    mine = keys(queries.select("fingerprint").dropna().distinct().repartition(width(queries.sparkSession)), radius, True)
     theirs = keys(all_marks.select("fingerprint").dropna().distinct(), radius, False).toDF("hi2", "lo2", "block", "key")
     hi, lo = F.col("hi").bitwiseXOR(F.col("hi2")), F.col("lo").bitwiseXOR(F.col("lo2"))
 

@@ -4,7 +4,8 @@ First pass: a count-min sketch with counters that stop at two. A window is count
 of its short word runs, once for each place the minimizer stands at, which takes some fourteenth of the counts that
 windows would. Equal windows have equal minimizers at different places, so the merged sketches of all partitions never
 underestimate a window's count: one whose estimate is one occurs once. Second pass: the windows left, and only they,
-are grouped exactly, dealt out by their own hash. Two windows are equal if two independent 64-bit polynomial hashes of
+are grouped exactly, dealt out by their minimizer, so that a passage's windows come in few pieces; those of a minimizer
+that holds a thousandth of all places are dealt out by their own hash. Two windows are equal if two independent 64-bit polynomial hashes of
 their words' hashes are: 128 bits, by which two different ones among 10^12 meet with a chance of some 10^-15. Within a
 task repeats are settled at once, so a passage in a third of all documents sends one entry a task to its group, not one
 a document.
@@ -12,6 +13,7 @@ a document.
 
 from __future__ import annotations
 
+import collections
 import hashlib
 
 import numpy as np
@@ -35,6 +37,9 @@ BUCKET, CHUNK = 4_000_000, 150_000
 #: Anchors and windows that a task holds before it sends them on.
 ANCHORS_HELD, WINDOWS_HELD = 1_000_000, 500_000
 
+#: A minimizer is hot that holds more than one in HOT of the places.
+HOT = 1000
+
 ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 INVERSE = np.array([pow(int(x), -1, 1 << 64) for x in ODD], np.uint64)
 ENTRY = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("pos", "<u4"), ("ref", "<u4")])
@@ -90,6 +95,11 @@ def chunks(texts: list[bytes]):
         yield first, held
 
 
+def hashes_of(words: list[bytes] | list[str]) -> np.ndarray:
+    """The first halves of the words' 128-bit hashes."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in words), ">u8")[::2].astype(np.uint64)
+
+
 class Windows:
     """The windows of some texts, one after the other: for each, its text, its start there, its place and its minimizer's hash and place."""
 
@@ -122,16 +132,23 @@ def cells(minimizers: np.ndarray, row: int, bits: int) -> np.ndarray:
         return mix(minimizers + np.uint64(row + 1) * ODD[0]) >> np.uint64(64 - bits)
 
 
-def sketch(docs: DataFrame, size: int, bits: int) -> tuple[list[bytearray], int]:
-    """For each row of the sketch a bit a cell: whether all partitions together counted it more than once; and the number of words."""
+def sketch(docs: DataFrame, size: int, bits: int) -> tuple[list[bytearray], int, np.ndarray]:
+    """For each row of the sketch a bit a cell: whether all partitions together counted it more than once; the number of words; and the hot minimizers, ascending, fewer than 2 * HOT.
+
+    One that holds so many of all places holds as many of some part's, so every part names its own hot ones, fewer
+    than HOT; of more than 20,000 named ones the most frequent half is kept, which can change only where windows go.
+    """
     cut = min(SLICE_BITS, bits)
 
     def count(batches):
         powers, held, n, words = Powers(), [], 0, 0
 
         def flush():
-            out = [(-1, 0, np.array([words], "<i8").tobytes())]
             got = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            values, counts = np.unique(got, return_counts=True)
+            often = counts * HOT > len(got)
+            named = np.column_stack([values[often], counts[often].astype(np.uint64)])
+            out = [(-1, 0, np.array([words, len(got)], "<u8").tobytes() + named.astype("<u8").tobytes())]
             for row in (0, 1):
                 cell, times = np.unique(cells(got, row, bits), return_counts=True)
                 coded = ((cell & np.uint64((1 << cut) - 1)) << np.uint64(1)).astype(np.uint32) | (times > 1)
@@ -157,11 +174,16 @@ def sketch(docs: DataFrame, size: int, bits: int) -> tuple[list[bytearray], int]
     def merge(batches):
         """One slice after the other: what has been seen, and what more than once."""
         key = once = twice = None
-        words = 0
+        words, places, named = 0, 0, collections.Counter()
         for b in batches:
             for row, s, packed in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if row < 0:
-                    words += int(np.frombuffer(packed, "<i8")[0])
+                    told = np.frombuffer(packed, "<u8").tolist()
+                    words, places = words + told[0], places + told[1]
+                    for value, n in zip(told[2::2], told[3::2]):
+                        named[value] += n
+                    if len(named) > 20_000:
+                        named = collections.Counter(dict(named.most_common(10_000)))
                     continue
                 if key != (row, s):
                     if key is not None:
@@ -174,7 +196,8 @@ def sketch(docs: DataFrame, size: int, bits: int) -> tuple[list[bytearray], int]
         if key is not None:
             yield done(key, twice)
         if words:
-            yield made(-1, 0, np.array([words], "<i8").tobytes())
+            hot = [v for v, n in named.items() if n * 2 * HOT > places]
+            yield made(-1, 0, np.array([words, *hot], "<u8").tobytes())
 
     def done(key, twice):
         return made(*key, np.packbits(twice).tobytes())
@@ -186,13 +209,14 @@ def sketch(docs: DataFrame, size: int, bits: int) -> tuple[list[bytearray], int]
     n = width(docs.sparkSession)
     merged = map_arrow(parts.repartition(n, "row", "slice").sortWithinPartitions("row", "slice"), merge, "row int, slice int, bits binary")
     out = [bytearray((1 << bits) // 8) for _ in (0, 1)]
-    step, words = (1 << cut) // 8, 0
+    step, words, hot = (1 << cut) // 8, 0, np.zeros(0, np.uint64)
     for r in merged.toLocalIterator():  # 2^MOST_BITS bits a row of the sketch at most
         if r["row"] < 0:
-            words += int(np.frombuffer(r["bits"], "<i8")[0])
+            told = np.frombuffer(r["bits"], "<u8")
+            words, hot = int(told[0]), np.sort(told[1:].astype(np.uint64))
             continue
         out[r["row"]][r["slice"] * step : (r["slice"] + 1) * step] = r["bits"]
-    return out, words
+    return out, words, hot
 
 
 def as_runs(ref: np.ndarray, pos: np.ndarray) -> list[tuple[int, bytes]]:
@@ -211,7 +235,7 @@ def as_runs(ref: np.ndarray, pos: np.ndarray) -> list[tuple[int, bytes]]:
 REPLY = "key long, mark long, runs binary"
 
 
-def repeated(docs: DataFrame, size: int, bits: int, buckets: int, filled: list[bytearray]) -> DataFrame:
+def repeated(docs: DataFrame, size: int, bits: int, buckets: int, filled: list[bytearray], hot: np.ndarray) -> DataFrame:
     """(key, mark, runs): for each text, window starts whose sequence starts elsewhere too. A text's rows may be several; ``docs`` has key, mark and text."""
     shared = docs.sparkSession.sparkContext.broadcast([bytes(x) for x in filled])
 
@@ -265,7 +289,8 @@ def repeated(docs: DataFrame, size: int, bits: int, buckets: int, filled: list[b
                 e = np.zeros(len(which), ENTRY)
                 e["h1"], e["h2"] = w.hashes(which)
                 e["pos"], e["ref"] = w.start[which], w.text[which] + first
-                held.append((e, (mix(e["h1"]) % np.uint64(buckets)).astype(np.int64)))
+                by = np.where(np.isin(w.minimizer[which], hot), e["h1"], w.minimizer[which])  # equal windows have equal minimizers
+                held.append((e, (mix(by) % np.uint64(buckets)).astype(np.int64)))
                 n += len(which)
                 if n > WINDOWS_HELD:
                     yield flush(held, keys)
@@ -319,8 +344,8 @@ def with_runs(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     size_of = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     places = max(2 * (size_of // 5) // (size - min(RUN, size) + 2), 1)
     bits = min(MOST_BITS, max(LEAST_BITS, int(4 * places).bit_length()))
-    filled, words = sketch(base, size, bits)
-    found = repeated(base, size, bits, max(1, -(-words // BUCKET)) * 4, filled)
+    filled, words, hot = sketch(base, size, bits)
+    found = repeated(base, size, bits, max(1, -(-words // BUCKET)) * 4, filled, hot)
     runs = saved(found.groupBy("key", "mark").agg(F.collect_list("runs").alias("runs")))
     # texts without repeats aren't shuffled, but for the few that a filter lets pass
     over = Filter(runs.n_rows)
