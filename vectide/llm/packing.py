@@ -11,7 +11,9 @@ first incumbent; a branch is pruned when its waste makes fewer sequences than th
 from __future__ import annotations
 
 import bisect
+import functools
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -26,8 +28,8 @@ from .common import map_arrow, pick, read, saved
 CAPACITY = 2048
 #: Fillings of one largest length that are tried, looked at on the way to them, and turns back to one not tried yet; beyond the last the best solution so far stands. The way down after a turn is never cut short.
 WIDTH, LOOKED, NODES = 4, 400, 2_000
-#: Bytes of words and ids that a task remembers, at most.
-REMEMBERED = 80 << 20
+#: Bytes of words and ids that a worker remembers, at most; it keeps them for its next task.
+REMEMBERED = 64 << 20
 
 
 # --- tokens -------------------------------------------------------------------------------------------------------
@@ -76,7 +78,7 @@ class Words:
         got = self.parts.get(p)
         if got is None:
             q = p if p.isascii() else "".join(self.chars[b] for b in p.encode())
-            got = self.keep(self.parts, p, np.array([t.id for t in self.model.tokenize(q)], "<u4").tobytes())
+            got = self.keep(self.parts, p, b"".join([struct.pack("<I", t.id) for t in self.model.tokenize(q)]))
         return got
 
     def asked(self, s: str) -> bytes:
@@ -90,12 +92,19 @@ class Words:
         """Ids as little-endian unsigned 32-bit integers."""
         if any(x in text for x in self.specials):
             return self.asked(text.decode())
-        out = []
-        for w in text.split():
-            out.append(self.known.get(w) or self.word(w))
+        found = text.split()
+        out = list(map(self.known.get, found))
+        if None in out:
+            out = [ids or self.known.get(w) or self.word(w) for w, ids in zip(found, out)]
         return b"".join(out)
 
 
+@functools.lru_cache(1)
+def words(path: str) -> Words:
+    """One for each worker."""
+    return Words(path)
+
+
 # --- the plan -----------------------------------------------------------------------------------------------------
 
 
@@ -303,7 +312,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0) -
     last = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        coder, task, seen = Words(path), TaskContext.get().partitionId(), {}  # a task's own, gone with it
+        coder, task, seen = words(path), TaskContext.get().partitionId(), {}
         for b in batches:
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
