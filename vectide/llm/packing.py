@@ -28,8 +28,8 @@ from .common import map_arrow, pick, read, saved
 CAPACITY = 2048
 #: Fillings of one largest length that are tried, looked at on the way to them, and turns back to one not tried yet; beyond the last the best solution so far stands. The way down after a turn is never cut short.
 WIDTH, LOOKED, NODES = 4, 400, 2_000
-#: Bytes of words and ids that a worker remembers, at most; it keeps them for its next task.
-REMEMBERED = 64 << 20
+#: Bytes that a worker remembers of words, and of their parts, at most; it keeps them for its next task.
+REMEMBERED = 40 << 20
 
 
 # --- tokens -------------------------------------------------------------------------------------------------------
@@ -64,13 +64,13 @@ class Words:
         self.chars = byte_chars()
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        self.held = 0
+        self.room = {id(self.known): REMEMBERED, id(self.parts): REMEMBERED}
 
     def keep(self, table: dict, key: bytes | str, ids: bytes) -> bytes:
-        """Remembers an entry, 250 bytes beside its own, while there is room: what is frequent comes early."""
-        size = 250 + len(key) + len(ids)
-        if self.held + size <= REMEMBERED:
-            self.held += size
+        """Remembers an entry, some 130 bytes beside its own, while there is room: what is frequent comes early."""
+        left = self.room[id(table)] - 130 - len(key) - len(ids)
+        if left >= 0:
+            self.room[id(table)] = left
             table[key] = ids
         return ids
 
