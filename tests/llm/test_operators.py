@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pytest
 import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from vectide.llm import byte_bpe, exact_dedup, fingerprints, licenses, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
@@ -415,6 +416,28 @@ def test_edits(docs, empty, spark):
     assert fingerprints.edits(spark.createDataFrame([(None, "abc"), (2, "xyz")], "doc_id long, text string")).count() == 2
 
 
+def test_edits_where_an_id_takes_several_ranges(spark):
+    r = random.Random(6)
+    shared = [(i, f"{r.getrandbits(60)} {k}") for i in (None, 7) for k in range(150)] + [(7, "again")] * 20
+    own = [(i, f"text {i}") for i in range(100) if i != 7] + shared + [(2**62 + 3, "far"), (-(2**63), "least")]
+    r.shuffle(own)
+    found = fingerprints.edits(spark.createDataFrame(own, "doc_id long, text string").repartition(9)).collect()
+    assert len(found) == len(own)
+    assert sorted((x["doc_id"] is None, x["doc_id"] or 0, x["n_chars"]) for x in found) == sorted((i is None, i or 0, len(t)) for i, t in own)
+    # every row follows exactly one other: the edited texts are those of one round through all texts, ids descending
+    digest = lambda a, b: hashlib.sha256(fingerprints.edited_text(a, b).encode()).hexdigest()
+    signed = lambda t: (xxhash.xxh64(t.encode(), seed=42).intdigest() + 2**63) % 2**64 - 2**63
+    order = sorted(own, key=lambda x: (-(2**63) if x[0] is None else x[0], signed(x[1])), reverse=True)
+    want = sorted(digest(t, order[(k + 1) % len(order)][1]) for k, (_, t) in enumerate(order))
+    assert sorted(x["edited_sha256"] for x in found) == want
+
+
+def test_ranges_divide_an_id():
+    own = fingerprints.Ranges([3, 7, 7, 7, 9])
+    o, h = np.array([2, 3, 7, 7, 7, 8, 9, 10]), np.array([0, 0, -(2**63), 0, 2**63 - 1, -5, 5, 0])
+    assert own.part(o, h).tolist() == [5, 4, 3, 2, 1, 1, 0, 0]
+
+
 def test_fingerprints_within(spark):
     r = random.Random(2)
     base = [r.getrandbits(128) for _ in range(30)]

@@ -113,6 +113,28 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+#: Where a null id stands among ids, and the largest double below 2 ** 63.
+NO_ID, NEARLY_2_63 = -(2**63), 2**63 - 1024
+
+
+class Ranges:
+    """Ranges of (id, hash) in descending order, from ids that part a table evenly: an id that is named k times begins k ranges, at even steps of the hash."""
+
+    def __init__(self, cuts: list[int]):
+        self.ids, self.times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.upto = np.concatenate([[0], np.cumsum(self.times)])
+
+    def part(self, o: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The range of each row: how many beginnings lie above it."""
+        at = np.searchsorted(self.ids, o, side="right")
+        below = self.upto[at]
+        for j in np.flatnonzero(self.times > 1):
+            same = np.flatnonzero((at == j + 1) & (o == self.ids[j]))
+            steps = [-(2**63) + (k << 64) // int(self.times[j]) for k in range(1, self.times[j])]
+            below[same] = self.upto[j] + 1 + np.searchsorted(np.array(steps, np.int64), h[same], side="right")
+        return (self.upto[-1] - below).astype(np.int32)
+
+
 def edits(docs: DataFrame) -> DataFrame:
     """For each row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -120,44 +142,49 @@ def edits(docs: DataFrame) -> DataFrame:
     is the same in each run, null ids come last. A table of one row follows itself. Null texts are empty; other columns aren't
     read; an empty table gives no rows.
 
-    Ranges of ids are dealt out by bounds from Spark's quantile sketch, each range's first row is also dealt to the
-    range before it, and each range is read once in order, so a text is shuffled once and only two are held at a time.
+    Ranges of ids are dealt out by bounds from Spark's quantile sketch; an id that takes several ranges, as null may, is
+    divided by its texts' hashes, so only rows equal in id and text are never parted. Each range's first row is also dealt to
+    the range before it, and each range is read once in order, so a text is shuffled once and only two are held at a time.
     """
     spark = docs.sparkSession
-    base = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = base.select("doc_id")
+    id_, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    base = pick(docs, "doc_id", "text").select(id_.alias("doc_id"), F.coalesce(id_, F.lit(NO_ID)).alias("o"), F.xxhash64(text).alias("h"), text.alias("text"))
     n = width(spark)
-    cuts = sorted(set(ids.dropna().approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    bounds = spark.sparkContext.broadcast(np.array(cuts, np.float64))
-
-    def parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(order, part): the id or, for null, the smallest value; parts in descending order of ids."""
-        o = np.array(column.fill_null(np.iinfo(np.int64).min))
-        return o, len(bounds.value) - np.searchsorted(bounds.value, o.astype(np.float64), side="right")
+    found = base.select("o").approxQuantile("o", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+    ranges = Ranges([int(min(x, NEARLY_2_63)) for x in found])
+    split = [int(i) for i in ranges.ids[ranges.times > 1]]
+    bounds = spark.sparkContext.broadcast(ranges)
+    # ids that are not divided need no hash here, so mostly no text is read
+    places = base.select("o", (F.when(F.col("o").isin(split), F.col("h")).otherwise(F.lit(0)) if split else F.lit(0)).cast("long").alias("h"))
 
     def first_of(batches):
         for b in batches:
-            o, p = parts(b.column(0))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame({"part": p.astype(np.int32), "o": o}).groupby("part", as_index=False).max(), preserve_index=False)
+            own = pd.DataFrame({"o": np.array(b.column(0)), "h": np.array(b.column(1))})
+            own["part"] = bounds.value.part(own["o"].to_numpy(), own["h"].to_numpy())
+            yield pa.RecordBatch.from_pandas(own.sort_values(["o", "h"]).drop_duplicates("part", keep="last")[["part", "o", "h"]], preserve_index=False)
 
-    firsts = map_arrow(ids, first_of, "part int, o long").groupBy("part").agg(F.max("o").alias("o")).orderBy("part").collect()  # a row a range
+    firsts = map_arrow(places, first_of, "part int, o long, h long").groupBy("part").agg(F.max(F.struct("o", "h")).alias("x")).orderBy("part").collect()  # a row a range
     present = [r["part"] for r in firsts]
-    before = {r["o"]: present[i - 1] for i, r in enumerate(firsts)}  # the id of a range's first row -> the range before it; the last before the first
+    before = {(r["x"]["o"], r["x"]["h"]): present[i - 1] for i, r in enumerate(firsts)}  # a range's first row -> the range before it; the last before the first
 
     def deal(batches):
         press = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            o, p = parts(b.column(0))
-            packed = [press.compress(t.encode()) for t in b.column(1).to_pylist()]
-            guests = [i for i, x in enumerate(o.tolist()) if x in before]
-            at = np.concatenate([np.arange(b.num_rows), np.array(guests, np.int64)])
+            o, h = np.array(b.column(1)), np.array(b.column(2))
+            packed = [press.compress(t.encode()) for t in b.column(3).to_pylist()]
+            guests: dict[tuple, int] = {}  # of several rows in a first row's place the first in order is that row
+            for i, place in enumerate(zip(o.tolist(), np.where(np.isin(o, split), h, 0).tolist())):
+                if place in before and (place not in guests or (~h[i], packed[i]) < (~h[guests[place]], packed[guests[place]])):
+                    guests[place] = i
+            at = np.concatenate([np.arange(b.num_rows), np.array(list(guests.values()), np.int64)])
+            parts = np.concatenate([bounds.value.part(o, h), np.array([before[x] for x in guests], np.int32)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([p, [before[int(o[i])] for i in guests]]).astype(np.int32)), pa.array(np.arange(len(at)) >= b.num_rows), b.column(0).take(pa.array(at)), pa.array([packed[i] for i in at], pa.binary())],
-                ["part", "guest", "doc_id", "packed"],
+                [pa.array(parts), pa.array(np.arange(len(at)) >= b.num_rows), b.column(0).take(pa.array(at)), pa.array(o[at]), pa.array(h[at]), pa.array([packed[i] for i in at], pa.binary())],
+                ["part", "guest", "doc_id", "o", "h", "packed"],
             )
 
-    dealt = map_arrow(base, deal, "part int, guest boolean, doc_id long, packed binary").repartition(n, "part")
-    dealt = dealt.sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "packed")
+    dealt = map_arrow(base, deal, "part int, guest boolean, doc_id long, o long, h long, packed binary").repartition(n, "part")
+    dealt = dealt.sortWithinPartitions("part", "guest", F.desc("o"), F.desc("h"), "packed").select("part", "guest", "doc_id", "packed")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def follow(batches):
