@@ -255,3 +255,14 @@ def test_held_out_texts_must_not_be_seen(spark):
     integrity.require_disjoint(spark.createDataFrame([("c",), (" ",), (None,)], "text string"), seen)
     with pytest.raises(ValueError, match="1 "):
         integrity.require_disjoint(spark.createDataFrame([("c",), ("b",)], "text string"), seen)
+
+
+def test_calibration_chunks(spark):
+    lengths = [5] * 3000 + [9, 2, 9, 7, 2] + [5] * 40
+    items = spark.createDataFrame(list(enumerate(lengths)), "idx long, n long").repartition(7)
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    want = {i: (r // 8, r % 8) for r, i in enumerate(order)}
+    assert {r["idx"]: (r["chunk"], r["place"]) for r in batching.calibration_chunks(items).collect()} == want
+    assert batching.calibration_chunks(items.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        batching.calibration_chunks(items, 0)

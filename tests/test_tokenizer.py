@@ -238,3 +238,19 @@ short query  11 ms wall  29 ms cpu
 idle cpu 3 ms/s peak rss 10 MiB""".split("\n")
     got = M.benchmark_log(spark.createDataFrame(list(enumerate(log)), "line long, value string")).orderBy("model").collect()
     assert [(r["name"], r["mib"], r["tokens_per_second"], r["dense_min"], r["top5"], r["cpu_ms"], r["idle_ms"]) for r in got] == [("tuned low-memory", 1000, 1500, 0.99, "10/11", None, None), ("b.onnx", 20, None, None, None, 29.0, 3)]
+
+
+def test_grapheme_counts(spark):
+    cases = {1: "abc", 2: "a\r\nb", 3: "क्षि", 4: "🇫🇷🇩🇪", 5: "éx", 6: "", 7: None, 8: "tab\tand\nline\x7f"}
+    found = T.grapheme_counts(spark.createDataFrame(list(cases.items()), "doc_id long, text string"), "doc_id", "text").collect()
+    want = {1: (3, 3), 2: (3, 4), 3: (1, 4), 4: (2, 4), 5: (2, 3), 6: (0, 0), 7: (0, 0), 8: (13, 13)}
+    assert {r["doc_id"]: (r["n_clusters"], r["n_chars"]) for r in found} == want
+
+
+def test_token_names_join(spark):
+    v = M.Vocabulary(["<unk>", "<s>", "</s>", "▁", "a"], [0.0, 0.0, 0.0, -1.0, -2.0], [2, 3, 3, 1, 1], 0)
+    ids = spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 4, 5, 6, 7, -1)], "id int")
+    found = {r["id"]: r["token"] for r in T.token_names(ids, v).collect()}
+    assert found == {0: "<s>", 1: "<pad>", 2: "</s>", 3: "<unk>", 4: "▁", 5: "a", 6: "<mask>", 7: None, -1: None}
+    own = T.Unigram(v)
+    assert all(own.token(i) == t for i, t in found.items() if t is not None)

@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .integrity import running_sums
+
 BATCH_SIZE, BATCH_TOKENS = 12, 16_384
+#: Fixed value: texts of one calibration chunk.
+CHUNK = 8
+
+
+def calibration_chunks(items: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(idx, n, chunk, place) of all items (idx, n), n being a text's tokens within the encoder's limit: longest first, ties by idx, ``size`` to a chunk.
+
+    A text's rank is the number of longer ones, from a table of a row a length, and of those before it of its own
+    length, counted by blocks; nothing is sorted as a whole.
+    """
+    if size < 1:
+        raise ValueError("size must be positive")
+    lengths = items.groupBy("n").agg(F.count(F.lit(1)).alias("of"))
+    longer = F.coalesce(F.sum("of").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = running_sums(items.select("idx", "n"), "n", "idx", F.lit(1).cast("long")).join(F.broadcast(lengths.select("n", longer.alias("longer"))), "n")
+    rank = F.col("longer") + F.col("offset")
+    return ranked.select("idx", "n", F.floor(rank / size).alias("chunk"), (rank % size).cast("int").alias("place"))
 
 
 def batch_plan(items: DataFrame, call: str, batch_size: int = BATCH_SIZE, budget: int = BATCH_TOKENS) -> DataFrame:

@@ -16,11 +16,16 @@ def aligned(n: Column) -> Column:
 
 
 def running_offsets(rows: DataFrame, key: str, order: str, size: Column) -> DataFrame:
-    """``rows`` with ``offset``: the sum of the aligned sizes of the key's rows before, by ``order`` (a whole number, no ties).
+    """``rows`` with ``offset``: the sum of the aligned sizes of the key's rows before, by ``order`` (a whole number, no ties)."""
+    return running_sums(rows, key, order, aligned(size))
+
+
+def running_sums(rows: DataFrame, key: str, order: str, size: Column) -> DataFrame:
+    """``rows`` with ``offset``: the sum of ``size`` over the key's rows before, by ``order`` (a whole number, no ties).
 
     In two steps, so that no key is one task's: sums of blocks of the order, and then rows within their block.
     """
-    own = rows.withColumn("_size", aligned(size)).withColumn("_block", F.floor(F.col(order) / BLOCK))
+    own = rows.withColumn("_size", size).withColumn("_block", F.floor(F.col(order) / BLOCK))
     blocks = own.groupBy(key, "_block").agg(F.sum("_size").alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.select(key, "_block", before.alias("_before"))

@@ -12,11 +12,11 @@ from .encoding import Backbone, Heads, encode
 from .tokenizer import token_ids
 
 
-def compute_score(pairs: DataFrame, vocabulary: Vocabulary, backbone: Backbone, heads: Heads, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), query_length: int = QUERY_MAX_LENGTH, passage_length: int = MAX_LENGTH) -> DataFrame:
+def compute_score(pairs: DataFrame, vocabulary: Vocabulary, backbone: Backbone, heads: Heads, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), query_length: int = QUERY_MAX_LENGTH, passage_length: int = MAX_LENGTH, wide: bool = False) -> DataFrame:
     """(pair_id, dense, sparse, colbert, sparse_dense, colbert_sparse_dense) of (pair_id, query, passage).
 
     Each distinct text is encoded once for each of the two limits. Tokens that two texts don't share add nothing; a
-    pair without common tokens scores 0 there.
+    pair without common tokens scores 0 there. ``wide``: in double.
     """
     if len(weights) != 3:
         raise ValueError("three weights are needed: dense, sparse, colbert")
@@ -24,7 +24,7 @@ def compute_score(pairs: DataFrame, vocabulary: Vocabulary, backbone: Backbone,
     for side, limit in (("query", query_length), ("passage", passage_length)):
         texts = pairs.select(F.coalesce(side, F.lit("")).alias("text")).distinct().withColumn("key", F.col("text"))
         ids = token_ids(texts, "key", "text", vocabulary, limit)
-        sides[side] = encode(ids, backbone, heads, key="key", dense=True, sparse=True, colbert=True)
+        sides[side] = encode(ids, backbone, heads, key="key", dense=True, sparse=True, colbert=True, wide=wide)
     q = sides["query"].toDF("query", "qd", "qs", "qc")
     p = sides["passage"].toDF("passage", "pd", "ps", "pc")
     own = pairs.select("pair_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("query", "passage")]).join(q, "query").join(p, "passage")

@@ -135,6 +135,27 @@ def token_ids(docs: DataFrame, key: str, text: str, vocabulary: Vocabulary, max_
     return docs.select(key, ids(F.col(text)).alias("ids"))
 
 
+def token_names(tokens: DataFrame, vocabulary: Vocabulary, id_: str = "id") -> DataFrame:
+    """``tokens`` with ``token``, the piece of each id, by a join with the vocabulary, which is of bounded size; null where no token has the id."""
+    mask = len(vocabulary.pieces) + 1
+    names = {i + 1: p for i, p in enumerate(vocabulary.pieces)} | {v: k for k, v in NAMES.items()} | {mask: "<mask>"}
+    table = tokens.sparkSession.createDataFrame(list(names.items()), f"{id_} int, token string")
+    return tokens.join(F.broadcast(table), id_, "left")
+
+
+def grapheme_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n_clusters, n_chars): extended grapheme clusters and code points of whole texts; plain ASCII without a carriage return is counted where it is."""
+    @F.pandas_udf("long")
+    def clusters(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sum(1 for _ in regex.finditer(r"\X", t)))
+
+    t = F.coalesce(F.col(text), F.lit(""))
+    own = docs.select(key, t.alias("_t"), F.char_length(t).cast("long").alias("n_chars"))
+    hard = F.when(~F.col("_t").rlike("^[\\x00-\\x0C\\x0E-\\x7E]*\\z"), F.col("_t")).otherwise("")
+    counted = own.select(key, "n_chars", hard.alias("_hard")).withColumn("_n", clusters("_hard"))
+    return counted.select(key, F.when(F.col("_hard") == "", F.col("n_chars")).otherwise(F.col("_n")).alias("n_clusters"), "n_chars")
+
+
 _held: dict[str, Unigram] = {}
 
 

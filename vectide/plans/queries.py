@@ -523,6 +523,101 @@ def microbatch_windows(spark, d):
     return own.select(F.col("w.start").alias("minute"), "event_type", "n", "total")
 
 
+# --- tokens by a small vocabulary ------------------------------------------------------------------------------------
+
+#: Pieces of a small vocabulary; scores are multiples of a quarter, so sums of them are exact. A piece's id is its place here and 4 more.
+PIECES = ["▁", *"abcdefghijklmnopqrstuvwxyz", "th", "he", "in", "er", "an", "en", "on", "ou", "the", "and", "ion", "ing", "tion", "▁th", "▁an", "▁the", "."]
+SCORES = [-5.0 + 0.25 * (k * 7 % 9) - 0.75 * len(p) for k, p in enumerate(PIECES)]
+
+#: Segmentation in SQL: st holds the best ways to the last four places, the nearest first; of equal scores the longest last piece wins.
+SEGMENTED = f"""pieces AS (SELECT MAP {{{', '.join(f"'{p}': {{'id': {k + 4}, 'score': {s}::DOUBLE}}" for k, (p, s) in enumerate(zip(PIECES, SCORES)))}}} AS pieces),
+f AS (SELECT word, CASE WHEN word LIKE '▁%' THEN word ELSE '▁' || word END AS m, 0 AS e, [{{'score': 0.0::DOUBLE, 'ids': []::INT[]}}] AS st FROM distinct_words
+  UNION ALL
+  SELECT word, m, e + 1, list_prepend(ways[list_position(list_transform(ways, lambda w: w.score), list_max(list_transform(ways, lambda w: w.score)))], st[1:3])
+  FROM (SELECT word, m, e, st, list_transform(tried, lambda t: {{'score': st[t.k].score + coalesce(t.p.score, {min(SCORES) - 10}::DOUBLE),
+      'ids': CASE WHEN t.p.id IS NOT NULL THEN list_append(st[t.k].ids, t.p.id::INT) WHEN st[t.k].ids[-1] = 3 THEN st[t.k].ids ELSE list_append(st[t.k].ids, 3) END}}) AS ways
+    FROM (SELECT word, m, e, st, list_filter(list_transform(range(least(4, e + 1), 0, -1), lambda k: {{'k': k, 'p': pieces[substr(m, e + 2 - k, k)]}}), lambda t: t.k = 1 OR t.p.id IS NOT NULL) AS tried
+      FROM f, pieces WHERE e < length(m))))"""
+
+
+def small_vocabulary():
+    from ..sources.model_files import NORMAL, Vocabulary
+
+    return Vocabulary(["<unk>", "<s>", "</s>", *PIECES], [0.0, 0.0, 0.0, *SCORES], [2, 3, 3, *[NORMAL] * len(PIECES)], 0)
+
+
+@query(f"""WITH RECURSIVE distinct_words AS (SELECT DISTINCT unnest({WORDS}) AS word FROM documents), {SEGMENTED}
+SELECT word, len(st[1].ids)::INT AS n_ids, array_to_string(st[1].ids, ',') AS ids FROM f WHERE e = length(m)""")
+def unigram_words(spark, d):
+    """The best segmentation of every distinct word."""
+    from ..operators import tokenizer
+
+    words = table(spark, d, "documents").select(F.explode(X.words(F.col("text"))).alias("word")).distinct().withColumn("w", F.col("word"))
+    body = F.slice("ids", 2, F.size("ids") - 2)
+    return tokenizer.token_ids(words, "word", "w", small_vocabulary(), 1 << 30).select("word", F.size(body).alias("n_ids"), F.array_join(body, ",").alias("ids"))
+
+
+@query(f"""WITH RECURSIVE lists AS (SELECT doc_id, {WORDS} AS ws FROM documents), every AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM lists), distinct_words AS (SELECT DISTINCT word FROM every), {SEGMENTED},
+done AS (SELECT word, st[1].ids AS ids FROM f WHERE e = length(m)), whole AS (SELECT doc_id, flatten(list(ids ORDER BY pos)) AS ids FROM every JOIN done USING (word) GROUP BY doc_id),
+framed AS (SELECT doc_id, list_concat([0], list_concat(coalesce(ids, []::INT[])[1:8190], [2])) AS ids FROM documents LEFT JOIN whole USING (doc_id))
+SELECT doc_id, len(ids)::INT AS n_ids, md5(array_to_string(ids, ',')) AS digest, len(list_filter(ids, lambda i: i = 3))::INT AS n_unknown FROM framed""")
+def unigram_documents(spark, d):
+    """Whole documents by a small vocabulary, framed, up to the encoder's limit."""
+    from ..operators import tokenizer
+
+    got = tokenizer.token_ids(table(spark, d, "documents"), "doc_id", "text", small_vocabulary())
+    return got.select("doc_id", F.size("ids").alias("n_ids"), F.md5(F.array_join("ids", ",")).alias("digest"), F.size(F.filter("ids", lambda i: i == 3)).alias("n_unknown"))
+
+
+#: Framed ids of the benchmark's texts.
+ITEMS = f"""lists AS (SELECT item_id, {WORDS} AS ws FROM benchmark), every AS (SELECT item_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM lists), distinct_words AS (SELECT DISTINCT word FROM every), {SEGMENTED},
+done AS (SELECT word, st[1].ids AS ids FROM f WHERE e = length(m)), whole AS (SELECT item_id, flatten(list(ids ORDER BY pos)) AS ids FROM every JOIN done USING (word) GROUP BY item_id),
+framed AS (SELECT item_id, coalesce(ids, []::INT[]) AS ids FROM benchmark LEFT JOIN whole USING (item_id))"""
+
+
+@query(f"""WITH RECURSIVE {ITEMS}, t AS (SELECT item_id, unnest(list_concat([0], list_concat(ids[1:8190], [2]))) AS id, unnest(range(0, len(ids[1:8190]) + 2))::INT AS pos FROM framed),
+names AS (SELECT * FROM (VALUES (0, '<s>'), (2, '</s>'), (3, '<unk>'), {', '.join(f"({k + 4}, '{p}')" for k, p in enumerate(PIECES))}) AS n(id, token))
+SELECT item_id, pos, id, token FROM t LEFT JOIN names USING (id)""")
+def token_names(spark, d):
+    """Every id of the benchmark's texts beside its token."""
+    from ..operators import tokenizer
+
+    v = small_vocabulary()
+    ids = tokenizer.token_ids(table(spark, d, "benchmark"), "item_id", "text", v)
+    return tokenizer.token_names(ids.select("item_id", F.posexplode("ids").alias("pos", "id")), v).select("item_id", "pos", "id", "token")
+
+
+@query(f"""WITH RECURSIVE {ITEMS}, sides AS (SELECT item_id AS a, list_concat([0], list_concat(ids[1:510], [2])) AS ids, 1 AS side FROM framed UNION ALL SELECT item_id - 1, list_concat([0], list_concat(ids[1:8190], [2])), 2 FROM framed),
+t AS (SELECT a, side, unnest(ids) AS tid, unnest(range(0, len(ids))) AS pos FROM sides), h AS (SELECT a, side, tid, pos, 1.0::DOUBLE AS h0, (tid % 7)::DOUBLE AS h1, (pos % 5)::DOUBLE AS h2 FROM t),
+w AS (SELECT a, side, tid, max(0.5 * h0 + 0.25 * h1 - 0.125 * h2 - 0.5) AS w FROM h WHERE tid > 3 GROUP BY ALL HAVING w > 0),
+s AS (SELECT x.a, sum(x.w * y.w) AS s FROM w x JOIN w y ON x.a = y.a AND x.tid = y.tid AND x.side = 1 AND y.side = 2 GROUP BY ALL),
+c AS (SELECT a, side, pos, [(h0 + h1) / n, (h1 - h2) / n, (h0 + h2) / n] AS v FROM (SELECT *, sqrt((h0 + h1) ** 2 + (h1 - h2) ** 2 + (h0 + h2) ** 2) AS n FROM h WHERE pos > 0)),
+m AS (SELECT x.a, x.pos, max(list_inner_product(x.v, y.v)) AS m FROM c x JOIN c y ON x.a = y.a AND x.side = 1 AND y.side = 2 GROUP BY ALL), l AS (SELECT a, avg(m) AS m FROM m GROUP BY a)
+SELECT a AS pair_id, 1.0::DOUBLE AS dense, round(coalesce(s, 0), 6) AS sparse, round(m, 6) AS colbert, round((1 + coalesce(s, 0)) / 2, 6) AS sparse_dense, round((1 + coalesce(s, 0) + m) / 3, 6) AS colbert_sparse_dense FROM l LEFT JOIN s USING (a)""")
+def pair_scores(spark, d):
+    """Each text of the benchmark, as a query, against the next one, as a passage. The test backbone's first token is the same in all texts, so dense is 1."""
+    from ..operators import scoring
+
+    pairs = neighbours(table(spark, d, "benchmark"), "item_id", "text").select(F.col("a").alias("pair_id"), F.col("text_a").alias("query"), F.col("text_b").alias("passage"))
+    got = scoring.compute_score(pairs, small_vocabulary(), encoding.test_backbone, encoding.TEST_HEADS, wide=True)
+    return got.select("pair_id", *[F.round(c, 6).alias(c) for c in got.columns if c != "pair_id"])
+
+
+@query("SELECT doc_id, length_grapheme(coalesce(text, '')) AS n_clusters, length(coalesce(text, '')) AS n_chars FROM documents")
+def grapheme_counts(spark, d):
+    from ..operators import tokenizer
+
+    return tokenizer.grapheme_counts(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"""WITH n AS (SELECT doc_id AS idx, least(len({WORDS}), 8190) + 2 AS n FROM documents), r AS (SELECT idx, n, row_number() OVER (ORDER BY n DESC, idx) - 1 AS r FROM n)
+SELECT idx, n::BIGINT AS n, (r // 8)::BIGINT AS chunk, (r % 8)::INT AS place FROM r""")
+def calibration_chunks(spark, d):
+    """All documents in the order in which calibration takes them."""
+    n = (F.least(F.size(X.words(F.col("text"))), F.lit(X.MAX_LENGTH - 2)) + 2).cast("long")
+    return batching.calibration_chunks(table(spark, d, "documents").select(F.col("doc_id").alias("idx"), n.alias("n")))
+
+
 @query()
 def unigram_ids(spark, d):
     """Token ids of every whole document by a vocabulary derived from all of them; no SQL, tests hold the segmentation against enumeration."""
