@@ -1,6 +1,7 @@
 """Each operator against a plain version on a small table of hard cases: nulls, empty and long texts, copies, ties."""
 
 import collections
+import gc
 import hashlib
 import itertools
 import math
@@ -10,12 +11,13 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from vectide.llm import byte_bpe, exact_dedup, fingerprints, licenses, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
+from vectide.llm import byte_bpe, common, exact_dedup, fingerprints, licenses, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
 from vectide.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, Key string, component_id long"
@@ -284,6 +286,22 @@ def test_components(spark):
     same(got(components(spark.createDataFrame(edges, "a long, b long")), "node", "label"), [(i, 0) for i in range(31)] + [(50, 50), (60, 50), (100, 50)])
 
 
+def test_workers_drop_words_of_another_operator(spark, word_bpe):
+    """What packing remembers stays for packing's own tasks; the next operator's tasks don't have it beside their own memory."""
+    docs = spark.createDataFrame([(i, f"some words {i} of a text") for i in range(64)], "doc_id long, text string").repartition(8)
+    kinds = "n long"
+
+    def words_held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "Words" for x in gc.get_objects())], pa.int64())], ["n"])
+
+    packing.pack(docs, word_bpe).collect()
+    held = sum(r["n"] for r in docs.mapInArrow(words_held, kinds).collect())
+    assert held > 0
+    left = sum(r["n"] for r in common.map_arrow(docs, words_held, kinds).collect())
+    assert left == 0
+
+
 @pytest.mark.parametrize("size", [35, 3])
 def test_removals(docs, empty, size):
     own = [(i, t.encode().split()) for i, t in plain()]

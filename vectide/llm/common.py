@@ -82,18 +82,40 @@ def give_back() -> None:
         trim(0)
 
 
+#: What this worker keeps for its next task, one thing at most.
+_remembered: dict = {}
+
+
+def remembered(name: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept for the worker's next tasks that name it in map_arrow(); the first task of another kind drops it."""
+    if name not in _remembered:
+        _remembered.clear()
+        _remembered[name] = make()
+    return _remembered[name]
+
+
+def drop_remembered(but: tuple | None = None) -> None:
+    """Drops what a task of another kind left in this worker, and gives its memory back."""
+    gone = [name for name in _remembered if name != but]
+    for name in gone:
+        del _remembered[name]
+    if gone:
+        give_back()
+
+
 #: Rows that a function gets at once: of a batch of 10,000 long texts a Python copy is too much.
 ROWS_AT_ONCE = 1_000
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int = ROWS_AT_ONCE) -> DataFrame:
-    """mapInArrow of ``fn``, which gets batches of so many rows at most; what a task held is given back at its end."""
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int = ROWS_AT_ONCE, uses: tuple | None = None) -> DataFrame:
+    """mapInArrow of ``fn``, which gets batches of so many rows at most; what a task held is given back at its end, what earlier ones left for others at its start. ``uses``: the name of what it has remembered()."""
     def parts(batches):
         for b in batches:
             for at in range(0, b.num_rows, rows):
                 yield b.slice(at, rows)
 
     def run(batches):
+        drop_remembered(uses)
         try:
             yield from fn(parts(batches))
         finally:

@@ -11,7 +11,6 @@ first incumbent; a branch is pruned when its waste makes fewer sequences than th
 from __future__ import annotations
 
 import bisect
-import functools
 import re
 import struct
 import zlib
@@ -23,12 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, pick, read, saved
+from .common import map_arrow, pick, read, remembered, saved
 
 CAPACITY = 2048
 #: Fillings of one largest length that are tried, looked at on the way to them, and turns back to one not tried yet; beyond the last the best solution so far stands. The way down after a turn is never cut short.
 WIDTH, LOOKED, NODES = 4, 400, 2_000
-#: Bytes that a worker remembers of words, and of their parts, at most; it keeps them for its next task.
+#: Bytes that a worker remembers of words, and of their parts, at most; it keeps them for its next task of this operator.
 REMEMBERED = 40 << 20
 
 
@@ -99,10 +98,9 @@ class Words:
         return b"".join(out)
 
 
-@functools.lru_cache(1)
 def words(path: str) -> Words:
-    """One for each worker."""
-    return Words(path)
+    """One for each worker, until that has a task of another operator."""
+    return remembered(("words", path), lambda: Words(path))
 
 
 # --- the plan -----------------------------------------------------------------------------------------------------
@@ -325,7 +323,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0) -
             columns = list(zip(*out)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], [x.split()[0] for x in PIECES.split(", ")])
 
-    return map_arrow(pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"), run, PIECES)
+    return map_arrow(pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"), run, PIECES, uses=("words", path))
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -359,7 +357,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(5)], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     joined = cut.join(first, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", "first", "place")
-    return map_arrow(joined, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_arrow(joined, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", uses=("words", path))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, mix, numbered, pick, read, saved, width
+from .common import ROWS_AT_ONCE, map_arrow, mix, numbered, pick, read, saved, width
 from .exact_dedup import Filter
 
 WINDOW = 35
@@ -81,7 +82,14 @@ def smallest(values: np.ndarray, size: int) -> np.ndarray:
     return at
 
 
-def chunks(texts: list[bytes]):
+def texts_of(column: pa.Array) -> Iterator[bytes]:
+    """A column's texts as UTF-8, null as empty, ROWS_AT_ONCE copied out of Arrow at a time."""
+    for at in range(0, len(column), ROWS_AT_ONCE):
+        for t in column.slice(at, ROWS_AT_ONCE).cast(pa.binary()).to_pylist():
+            yield t or b""
+
+
+def chunks(texts: Iterable[bytes]):
     """(first text's number, word lists) of consecutive texts with CHUNK words or so."""
     first, held, n = 0, [], 0
     for i, t in enumerate(texts):
@@ -158,7 +166,7 @@ def sketch(docs: DataFrame, size: int, bits: int) -> tuple[list[bytearray], int,
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], ["row", "slice", "cells"])
 
         for b in batches:
-            for _, lists in chunks([x or b"" for x in b.column(0).cast(pa.binary()).to_pylist()]):
+            for _, lists in chunks(texts_of(b.column(0))):
                 w = Windows(lists, size, powers)
                 words += w.n
                 if len(w.at):
@@ -275,7 +283,7 @@ def repeated(docs: DataFrame, size: int, bits: int, buckets: int, filled: list[b
         for b in batches:
             held, n = [], 0
             keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-            for first, lists in chunks([x or b"" for x in b.column(2).cast(pa.binary()).to_pylist()]):
+            for first, lists in chunks(texts_of(b.column(2))):
                 w = Windows(lists, size, powers)
                 if not len(w.at):
                     continue
