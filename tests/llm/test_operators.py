@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from vectide.llm import byte_bpe, common, exact_dedup, fingerprints, licenses, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
+from vectide.llm import components as module_of_components
 from vectide.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, Key string, component_id long"
@@ -286,6 +287,34 @@ def test_components(spark):
     same(got(components(spark.createDataFrame(edges, "a long, b long")), "node", "label"), [(i, 0) for i in range(31)] + [(50, 50), (60, 50), (100, 50)])
 
 
+def test_components_of_several_partitions(spark, monkeypatch):
+    """Long paths whose edges lie in many partitions, and pieces of them that are joined a few edges at a time."""
+    r = random.Random(3)
+    names = r.sample(range(10**6), 600)
+    edges = [(names[i], names[i + 1]) for i in range(599) if i % 200 != 199]
+    r.shuffle(edges)
+    want = [(n, min(names[i // 200 * 200 : i // 200 * 200 + 200])) for i, n in enumerate(names)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    same(got(components(df), "node", "label"), want)
+    monkeypatch.setattr(common, "ROWS_A_PART", 100)
+    monkeypatch.setattr(module_of_components, "ROWS_A_PART", 100)
+    same(got(components(df), "node", "label"), want)
+
+
+def test_small_components_take_few_queries(spark):
+    """Of a table of one partition's size: no rounds of joins, each of which the driver would plan and compile anew."""
+    tracker = spark.sparkContext.statusTracker()
+    df = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    spark.sparkContext.setJobGroup("few-queries", "components of a path")
+    try:
+        found = got(components(df), "node", "label")
+        jobs = len(tracker.getJobIdsForGroup("few-queries"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    same(found, [(i, 0) for i in range(301)])
+    assert 0 < jobs <= 15
+
+
 def test_workers_drop_words_of_another_operator(spark, word_bpe):
     """What packing remembers stays for packing's own tasks; the next operator's tasks don't have it beside their own memory."""
     docs = spark.createDataFrame([(i, f"some words {i} of a text") for i in range(64)], "doc_id long, text string").repartition(8)

@@ -53,14 +53,14 @@ def shared_folder(spark: SparkSession) -> str:
 ROWS_A_PART = 20_000
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept, lineage cut, in the shared folder. Small tables come in fewer partitions: what is done with them writes a file a partition. The number of rows is its attribute ``n_rows``."""
+def saved(df: DataFrame, **more: Column) -> DataFrame:
+    """``df`` computed once and kept, lineage cut, in the shared folder. Small tables come in fewer partitions: what is done with them writes a file a partition. The number of rows is its attribute ``n_rows``; ``seen`` has it and the aggregates ``more``, seen on the way without another query."""
     shared_folder(df.sparkSession)
     seen = Observation()
-    kept = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint()
+    kept = df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in more.items()]).checkpoint()
     n = seen.get["n"]
     out = kept.coalesce(max(1, -(-n // ROWS_A_PART)))
-    out.n_rows, out.kept = n, kept
+    out.n_rows, out.kept, out.seen = n, kept, dict(seen.get)
     return out
 
 

@@ -172,6 +172,11 @@ def labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def so_far(labels: DataFrame) -> DataFrame:
+    """Links (a, b) that have the components ``labels``, fewer than those that these were found from."""
+    return labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+
+
 def more_hubs(entries: DataFrame, hot: list, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a hub and a member of a list, in different components so far. Each list that has several has HUBS hubs, equally central ones in as many orders."""
     own = saved(labelled(entries, labels))
@@ -264,14 +269,14 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K, s
     labels = components(links)
     if sure:
         again = across(classes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")).distinct(), texts, size, percent)
-        links = links.union(verified(again, texts, size, percent))
+        links = so_far(labels).union(verified(again, texts, size, percent))
     else:
         stars = more_hubs(entries, hot, labels, percent)
-        links = links.union(verified(likely(stars.join(star, ["a", "b"], "left_anti"), classes, percent, k), texts, size, percent))
+        links = so_far(labels).union(verified(likely(stars.join(star, ["a", "b"], "left_anti"), classes, percent, k), texts, size, percent))
         labels = components(links)
         tried = star.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         again = across(contested(entries, hot, labels, classes, percent, k), texts, size, percent).join(tried, ["a", "b"], "left_anti")
-        links = links.union(verified(likely(again, classes, percent, k), texts, size, percent))
+        links = so_far(labels).union(verified(likely(again, classes, percent, k), texts, size, percent))
     # classes whose first document has one id are one document
     links = links.union(classes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("node").alias("a"), F.col("node").alias("b")))
     labels = components(links)
